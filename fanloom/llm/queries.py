@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fanloom.llm import lines
+from fanloom.llm import decontaminate, lines
 
 QUERIES = {
     "op5_line_dedup": lines.op5_line_dedup,
+    "op7_decontamination": decontaminate.op7_decontamination,
 }
 ORACLES = {
     "op5_line_dedup": lines.OP5_SQL,

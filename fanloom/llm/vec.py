@@ -132,7 +132,7 @@ def ngrams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     long = size[row] >= n
     out[long] = total[at[long]]
     for r in np.flatnonzero((size > 0) & (size < n)):
-        x = np.uint64(size[r])
+        x = np.uint64(0)
         with np.errstate(over="ignore"):
             for v in h[first[r] : first[r + 1]]:
                 x = x * np.uint64(0xD6E8FEB86659FD93) + v
