@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fanloom.llm import decontaminate, langid, lines
+from fanloom.llm import decontaminate, langid, lines, sentencepieces
 
 QUERIES = {
+    "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op4_language_id": langid.op4_language_id,
     "op5_line_dedup": lines.op5_line_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
