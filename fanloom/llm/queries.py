@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from fanloom.llm import decontaminate, langid, lines, sentencepieces
+from fanloom.llm import decontaminate, langid, lines, ngramjoin, sentencepieces
 
 QUERIES = {
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op4_language_id": langid.op4_language_id,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op9_ngram_join": ngramjoin.op9_ngram_join,
     "op7_decontamination": decontaminate.op7_decontamination,
 }
 ORACLES = {
     "op5_line_dedup": lines.OP5_SQL,
+    "op9_ngram_join": ngramjoin.OP9_SQL,
 }
