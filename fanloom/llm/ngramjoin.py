@@ -373,18 +373,20 @@ def _packed_sets(rows: DataFrame, n: int, heavy) -> DataFrame:
     return rows.mapInArrow(run, schema + ", size int, grams binary")
 
 
-def verified(rows: DataFrame, blocks: DataFrame, n: int, t: float, heavy, part: int = PART) -> DataFrame:
-    """(a, b, jaccard) of the documents of each block (node, label) whose sets reach the threshold, a < b."""
+def block_parts(rows: DataFrame, blocks: DataFrame, n: int, heavy, part: int = PART) -> DataFrame:
+    """(kid, size, grams, label, i, x, y): the sets of the documents of each block (node, label), once a block, and
+    where a block has several parts, once for each pair of parts (x, y) that the document's part i belongs to."""
     sized = blocks.join(blocks.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label")
     parts = F.ceil(F.col("m") / part).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    # one row a block, and where a block has several parts, one for each pair of parts that the document is in
-    spread = sized.select("node", "label", parts.alias("p"), mine.alias("i")).select(
-        "node", "label", "i", F.explode(F.expr("sequence(0, p - 1)")).alias("other")
-    )
-    spread = spread.select("node", "label", "i", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"))
+    spread = sized.select(F.col("node").alias("kid"), "label", mine.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    spread = spread.select("kid", "label", "i", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"))
     inside = sized_join(rows.select("kid", "text"), blocks.select(F.col("node").alias("kid")), ["kid"], "left_semi").dropDuplicates(["kid"])
-    packed = _packed_sets(inside, n, heavy).join(spread.withColumnRenamed("node", "kid"), "kid")
+    return _packed_sets(inside, n, heavy).join(spread, "kid")
+
+
+def verified(rows: DataFrame, blocks: DataFrame, n: int, t: float, heavy, part: int = PART) -> DataFrame:
+    """(a, b, jaccard) of the documents of each block whose sets reach the threshold, a < b."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
@@ -396,7 +398,7 @@ def verified(rows: DataFrame, blocks: DataFrame, n: int, t: float, heavy, part:
         a, b = kid[i], kid[j]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "jaccard": o / np.maximum(sizes[i] + sizes[j] - o, 1)})
 
-    return packed.groupBy("label", "x", "y").applyInPandas(run, "a long, b long, jaccard double")
+    return block_parts(rows, blocks, n, heavy, part).groupBy("label", "x", "y").applyInPandas(run, "a long, b long, jaccard double")
 
 
 def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = EXTRA, id_col: str = "doc_id", text_col: str = "text"):
@@ -420,8 +422,13 @@ def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = E
     links = counted_links(postings(own, n, t, buckets, heavy), t, extra)
     blocks = components(links.unionByName(stars))
     pairs = verified(rows, blocks, n, t, heavy)
+    return pairs, node_ids(sets, reps)
+
+
+def node_ids(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """(kid, rep, copies, k1, k2, doc_id)."""
     ids = sets.groupBy("kid").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("doc_id").alias("doc_id"))
-    return pairs, reps.join(ids, "kid")
+    return reps.join(ids, "kid")
 
 
 def pair_rows(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

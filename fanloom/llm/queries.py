@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fanloom.llm import decontaminate, langid, lines, ngramjoin, sentencepieces
+from fanloom.llm import decontaminate, langid, lines, minhash, ngramjoin, sentencepieces
 
 QUERIES = {
+    "op1_minhash": minhash.op1_minhash,
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op4_language_id": langid.op4_language_id,
     "op5_line_dedup": lines.op5_line_dedup,
