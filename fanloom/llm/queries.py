@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from fanloom.llm import decontaminate, langid, lines, minhash, ngramjoin, sentencepieces
+from fanloom.llm import decontaminate, langid, lines, minhash, ngramjoin, sentencepieces, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op4_language_id": langid.op4_language_id,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_ngram_join": ngramjoin.op9_ngram_join,
     "op7_decontamination": decontaminate.op7_decontamination,
 }
 ORACLES = {
     "op5_line_dedup": lines.OP5_SQL,
     "op9_ngram_join": ngramjoin.OP9_SQL,
+    "op8_warc_revisits": warc.OP8_SQL,
 }
