@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fanloom.llm import decontaminate, langid, lines, minhash, ngramjoin, sentencepieces, warc
+from fanloom.llm import decontaminate, htmlwrap, langid, lines, minhash, ngramjoin, sentencepieces, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_line_dedup": lines.op5_line_dedup,
     "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_ngram_join": ngramjoin.op9_ngram_join,
+    "op6_html_wrappers": htmlwrap.op6_html_wrappers,
     "op7_decontamination": decontaminate.op7_decontamination,
 }
 ORACLES = {
