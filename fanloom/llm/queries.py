@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fanloom.llm import decontaminate, htmlwrap, langid, lines, minhash, ngramjoin, sentencepieces, warc
+from fanloom.llm import decontaminate, htmlwrap, langid, lines, minhash, ngramjoin, pii, sentencepieces, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
+    "op3_pii": pii.op3_pii,
     "op4_language_id": langid.op4_language_id,
     "op5_line_dedup": lines.op5_line_dedup,
     "op8_warc_revisits": warc.op8_warc_revisits,
