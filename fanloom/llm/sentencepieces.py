@@ -4,9 +4,9 @@ A text's characters start as symbols. An agenda holds the adjacent pairs of symb
 ordered by score and then by place; the best pair is joined, and the pairs with its new neighbours enter the agenda,
 until it is empty. Characters outside the vocabulary become byte pieces (or the unknown piece where there are none).
 
-No piece goes on after a white-space mark that follows another character, and characters that only stand alone in the
-vocabulary never join: a text is cut there, and the agenda runs once for each unit of text in a worker (its table of
-units is bounded and emptied when full). Whether the vocabulary allows this is checked when it is read. The ids of a
+No piece has a white-space mark after another character, or letters next to signs, and digits and line feeds stand
+alone: a text is cut there, and the agenda runs once for each unit of text in a worker (whose table of units is
+bounded). Whether the vocabulary allows this is checked when it is read. The ids of a
 batch are put together as bytes, without Python objects for ids.
 
 Defined cases
@@ -31,7 +31,7 @@ from fanloom.session import fresh
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_UNITS = 300_000
+_UNITS = 400_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -94,13 +94,25 @@ class Vocabulary:
             bytes([int(p[3:5], 16)]) if kind == _BYTE else b"" if kind == _CONTROL else " ⁇ ".encode() if kind == _UNKNOWN else p.replace(MARK, " ").encode()
             for p, kind in zip(self.pieces, self.kinds)
         ]
-        inner = any(MARK in p.lstrip(MARK) for p in self.ids)
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
-        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
-        # a unit: a character that never joins, or marks and what follows them up to the next such place
-        self.unit = None if inner else re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.unit = self._unit()
         self.known = _Units(self)
 
+    def _unit(self):
+        """Pattern of the units: marks, then letters, or one digit, or other signs; a coarser one (or none) where the
+        vocabulary has pieces that reach over such places."""
+        pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        if any(x[1] == MARK and x[0] != MARK for x in pairs):
+            return None
+
+        odd = "".join(re.escape(c) for c in sorted({c for p in self.ids for c in p}) if re.match(r"[^\W\d_]", c) and not c.isalpha())
+
+        def kind(c: str) -> int:
+            return 0 if re.match(r"[\d\n\t]", c) else 1 if re.match(rf"[^\W\d_{odd}]", c) else 2
+
+        if all(x[0] == MARK or kind(x[0]) == kind(x[1]) > 0 for x in pairs):
+            return re.compile(rf"{MARK}*(?:[^\W\d_{odd}]+|[\d\n\t]|(?:[_{odd}]|[^\w\n\t{MARK}])+)|{MARK}+")
+        return re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
     def agenda(self, text: str) -> list[int]:
         """Ids of a text with marks for blanks."""
         symbols: list[str] = list(text)
@@ -155,15 +167,18 @@ class Vocabulary:
 
 
 class _Units(dict):
-    """Unit of text -> its ids as bytes."""
+    """Unit of text -> its ids as bytes; when full, it starts anew with what is used of the old one."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= _UNITS:
+            self.old = dict(self)
             self.clear()
-        ids = np.array(self.vocabulary.agenda(unit), np.int32).tobytes()
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = np.array(self.vocabulary.agenda(unit), np.int32).tobytes()
         if len(unit) <= 64:
             self[unit] = ids
         return ids
@@ -206,7 +221,7 @@ def encode_column(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text
                     back.append(t is not None and (not t or v.decode(ids[off[k] : off[k + 1]]) == t.replace(MARK, " ")))
                 if check:
                     theirs = _library(path).encode([t or "" for t in texts], num_threads=1)
-                    same = [np.array_equal(flat[off[k] : off[k + 1]], np.asarray(x, np.int32)) for k, x in enumerate(theirs)]
+                    same = [ids[off[k] : off[k + 1]] == x for k, x in enumerate(theirs)]
                 offsets = pa.array(off, pa.int32(), mask=np.append(none, False)) if none.any() else pa.array(off, pa.int32())
                 columns = [
                     pa.ListArray.from_arrays(offsets, pa.array(flat), type=pa.list_(pa.field("element", pa.int32(), False))),
