@@ -229,7 +229,7 @@ def _run_pairs(start: np.ndarray, length: np.ndarray, most: int = 2_000_000):
 
 def shared_beginnings(heads: np.ndarray, gram: np.ndarray, at: np.ndarray, t: float, extra: int):
     """(kid, kid, size, size, count) of pairs of sets with different labels that share counted beginnings."""
-    doc = np.repeat(np.arange(len(heads)), heads["n"])
+    doc = np.repeat(np.arange(len(heads), dtype=np.int32), heads["n"])
     size, label = heads["size"].astype(np.int64), heads["label"]
     codes, counts, total = [], [], 0
 
@@ -238,9 +238,9 @@ def shared_beginnings(heads: np.ndarray, gram: np.ndarray, at: np.ndarray, t: fl
         return [v], [np.bincount(back, weights=np.concatenate(counts), minlength=len(v)).astype(np.int64)]
 
     for part in range(8):  # an eighth of the hash space at a time
-        own = np.flatnonzero((gram & np.uint64(7)) == part)
+        own = np.flatnonzero((gram & np.uint64(7)).astype(np.uint8) == part)
         order = own[np.argsort(gram[own], kind="stable")]
-        g, d, p = gram[order], doc[order], at[order].astype(np.int64)
+        g, d, p = gram[order], doc[order].astype(np.int64), at[order].astype(np.int64)
         if not len(g):
             continue
         new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
@@ -418,7 +418,7 @@ def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = E
     side = side.withColumn("out", F.col("label").isNull())
     joined = sized_join(rows.select("kid", "text"), side, ["kid"], "left")
     own = joined.where(~F.coalesce("out", F.lit(False))).select("kid", F.coalesce("label", "kid").alias("label"), "text")
-    buckets = max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    buckets = max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     links = counted_links(postings(own, n, t, buckets, heavy), t, extra)
     blocks = components(links.unionByName(stars))
     pairs = verified(rows, blocks, n, t, heavy)
