@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fanloom.llm import decontaminate, htmlwrap, langid, lines, minhash, ngramjoin, pii, sentencepieces, warc
+from fanloom.llm import decontaminate, grulm, htmlwrap, langid, lines, minhash, ngramjoin, pii, sentencepieces, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_ngram_join": ngramjoin.op9_ngram_join,
     "op6_html_wrappers": htmlwrap.op6_html_wrappers,
+    "op10_gru_scores": grulm.op10_gru_scores,
     "op7_decontamination": decontaminate.op7_decontamination,
 }
 ORACLES = {
