@@ -30,6 +30,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, payload string"
 
 
+_HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "
+_BARE = f"HTTP/1.1 200 OK{CRLF * 2}"
+
+
 def _uuid(key: Column) -> Column:
     h = F.md5(key)
     return F.concat(F.lit("urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(h, a, n), F.lit("-" if a < 21 else ""))])
@@ -60,36 +64,34 @@ def captures(pages: DataFrame, recrawl: int = 2) -> DataFrame:
 
 def resolve(records: DataFrame) -> DataFrame:
     """(record_id, warc_type, target_uri, warc_date, payload_digest, refers_to, refers_to_uri, refers_to_date, status,
-    content_length, record): each record once, ``record`` being its text as written."""
-    heads = records.select("record_id", "warc_type", "warc_date", "payload_digest", "target_uri")
-    first = (
-        heads.where("warc_type = 'response'")
-        .groupBy("payload_digest")
-        .agg(F.min(F.struct("warc_date", "record_id", "target_uri")).alias("o"))
-    )
-    fate = heads.join(first, "payload_digest", "left").select(
-        "record_id",
-        F.when(F.col("o").isNull(), "unresolved").when(F.col("record_id") == F.col("o.record_id"), "original").when(F.col("warc_type") == "revisit", "revisit").otherwise("deduplicated").alias("status"),
-        F.col("o.record_id").alias("o_id"),
-        F.col("o.target_uri").alias("o_uri"),
-        F.col("o.warc_date").alias("o_date"),
-    )
-    whole = records.join(fate.dropDuplicates(["record_id"]).hint("merge"), "record_id").dropDuplicates(["record_id"])
+    content_length): what becomes of each record, once. Payloads aren't shuffled here, only their lengths."""
+    heads = records.select("record_id", "warc_type", "warc_date", "payload_digest", "target_uri", F.octet_length("payload").alias("size")).dropDuplicates(["record_id"])
+    first = heads.where("warc_type = 'response'").groupBy("payload_digest").agg(F.min(F.struct("warc_date", "record_id", "target_uri")).alias("o"))
+    fate = F.when(F.col("o").isNull(), "unresolved").when(F.col("record_id") == F.col("o.record_id"), "original").when(F.col("warc_type") == "revisit", "revisit").otherwise("deduplicated")
+    known = heads.join(first, "payload_digest", "left").withColumn("status", fate)
     original = F.col("status") == "original"
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(CRLF * 2), F.col("payload"))
-    refers = (F.col("status") != "original") & (F.col("status") != "unresolved")
-    whole = whole.select(
+    refers = ~F.col("status").isin("original", "unresolved")
+    head = len(_HTTP) + F.length(F.col("size").cast("string")) + 4
+    return known.select(
         "record_id",
         F.when(original, "response").otherwise("revisit").alias("warc_type"),
         "target_uri",
         "warc_date",
         "payload_digest",
-        F.when(refers, F.col("o_id")).alias("refers_to"),
-        F.when(refers, F.col("o_uri")).alias("refers_to_uri"),
-        F.when(refers, F.col("o_date")).alias("refers_to_date"),
+        F.when(refers, F.col("o.record_id")).alias("refers_to"),
+        F.when(refers, F.col("o.target_uri")).alias("refers_to_uri"),
+        F.when(refers, F.col("o.warc_date")).alias("refers_to_date"),
         "status",
-        F.when(original, http).otherwise(F.lit(f"HTTP/1.1 200 OK{CRLF * 2}")).alias("block"),
-    ).withColumn("content_length", F.octet_length("block").cast("long"))
+        F.when(original, head + F.col("size")).otherwise(len(_BARE)).cast("long").alias("content_length"),
+    )
+
+
+def with_records(records: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``resolved`` with ``record``, the text of each record as it is written."""
+    payload = records.select("record_id", "payload").dropDuplicates(["record_id"])
+    whole = payload.join(resolved.hint("merge"), "record_id")
+    block = F.when(F.col("status") == "original", F.concat(F.lit(_HTTP), F.octet_length("payload").cast("string"), F.lit(CRLF * 2), F.col("payload"))).otherwise(F.lit(_BARE))
+    whole = whole.withColumn("block", block)
 
     def line(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
@@ -107,9 +109,9 @@ def resolve(records: DataFrame) -> DataFrame:
         line("WARC-Refers-To-Target-URI", F.col("refers_to_uri")),
         line("WARC-Refers-To-Date", F.col("refers_to_date")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", F.col("content_length").cast("string")),
+        line("Content-Length", F.octet_length("block").cast("string")),
     )
-    return whole.withColumn("record", F.concat(header, F.lit(CRLF), "block")).drop("block")
+    return whole.withColumn("record", F.concat(header, F.lit(CRLF), "block")).drop("block", "payload")
 
 
 def write_archives(resolved: DataFrame, path: str, files: int | None = None) -> None:
@@ -160,9 +162,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the deduplicated archives of all pages to the shared folder and returns their records (without text)."""
-    resolved = materialise(resolve(captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))), "warc")
-    write_archives(resolved, new_path(spark, "archives"))
-    return resolved.drop("record")
+    records = captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    resolved = materialise(resolve(records), "resolved")
+    write_archives(with_records(records, resolved), new_path(spark, "archives"))
+    return resolved
 
 
 OP8_SQL = """
