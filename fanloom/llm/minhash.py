@@ -28,6 +28,7 @@ from fanloom.llm.ngramjoin import (
     minima,
     node_ids,
     pair_rows,
+    part_sets,
     sketches,
     stand_ins,
     star_links,
@@ -37,7 +38,6 @@ from fanloom.session import materialise
 N = 3
 THRESHOLD = 0.6
 BANDS, ROWS = 30, 5
-_NO_RANKS = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def verified_candidates(sets: list[np.ndarray], t: float, count: int, width: int, left: int | None = None):
@@ -91,13 +91,11 @@ def near_duplicates(
     blocks = components(star_links(once))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        pdf = pdf.sort_values(["i", "kid"])
-        kid = pdf["kid"].to_numpy()
-        i, j, jaccard = verified_candidates([np.frombuffer(g, np.uint64) for g in pdf["grams"]], t, count, width, None if x == y else int((pdf["i"] == x).sum()))
+        kid, sets, left = part_sets(pdf)
+        i, j, jaccard = verified_candidates(sets, t, count, width, left)
         return pd.DataFrame({"a": kid[i], "b": kid[j], "jaccard": jaccard})
 
-    pairs = block_parts(rows, blocks, n, _NO_RANKS).groupBy("label", "x", "y").applyInPandas(run, "a long, b long, jaccard double")
+    pairs = block_parts(rows, blocks, n).groupBy("label", "x", "y").applyInPandas(run, "a long, b long, jaccard double")
     return pair_rows(pairs, node_ids(sets, reps))
 
 

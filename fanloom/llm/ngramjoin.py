@@ -122,12 +122,25 @@ def stand_ins(sets: DataFrame) -> DataFrame:
 
 
 def star_links(sets: DataFrame) -> DataFrame:
-    """(a, b): each set linked with the least one that has a band in common with it."""
-    each = sets.select("kid", F.posexplode("bands").alias("band", "h"))
-    least = each.groupBy("band", "h").agg(F.min("kid").alias("a"), F.max("kid").alias("z"), F.count(F.lit(1)).alias("n"))
-    two = least.where("n = 2").select("a", F.col("z").alias("b"))
-    more = least.where("n > 2").select("band", "h", "a")
-    return two.unionByName(each.join(more, ["band", "h"]).select("a", F.col("kid").alias("b"))).where("a != b").distinct()
+    """(a, b): each set linked with the least one that has a band in common with it.
+
+    One shuffle of (band hash, kid); the runs of equal hashes are found in the sorted partitions."""
+
+    def run(batches):
+        last_h, last_a = None, 0
+        for batch in batches:
+            h, kid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(h):
+                continue
+            new = np.concatenate([[last_h is None or h[0] != last_h], h[1:] != h[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+            least = np.where(at >= 0, kid[np.maximum(at, 0)], last_a)
+            last_h, last_a = h[-1], least[-1]
+            own = least != kid
+            yield pa.RecordBatch.from_arrays([pa.array(least[own]), pa.array(kid[own])], names=["a", "b"])
+
+    each = sets.select(F.posexplode("bands").alias("band", "h"), "kid").select(F.xxhash64("band", "h").alias("h"), "kid")
+    return each.repartition("h").sortWithinPartitions("h", "kid").mapInArrow(run, "a long, b long").distinct()
 
 
 def heavy_grams(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -351,54 +364,67 @@ def trie_pairs(sets: list[np.ndarray], sizes: np.ndarray, t: float, left: int |
     return out
 
 
-def _packed_sets(rows: DataFrame, n: int, heavy) -> DataFrame:
-    """``rows`` end with the text, which becomes (size, grams): the set's values in the global order, as bytes."""
-    shared = rows.sparkSession.sparkContext.broadcast(heavy)
+def _pack(values: np.ndarray) -> bytes:
+    """48-bit n-grams, six bytes each."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
+def _packed_sets(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` end with the text, which becomes ``grams``: the set's n-grams, packed."""
     names = rows.columns[:-1]
 
     def run(batches):
-        own_heavy = shared.value
         for batch in batches:
             for a, values, begin in gram_sets(batch.column(batch.num_columns - 1), n):
-                values, begin = vec.distinct(ordered(values, own_heavy), begin)
-                m = len(begin) - 1
-                data = values.tobytes()
-                own = batch.slice(a, m)
-                yield pa.RecordBatch.from_arrays(
-                    [*own.columns[:-1], pa.array(np.diff(begin).astype(np.int32)), pa.array([data[8 * i : 8 * j] for i, j in zip(begin[:-1], begin[1:])], pa.binary())],
-                    names=[*names, "size", "grams"],
-                )
+                data = _pack(values)
+                own = batch.slice(a, len(begin) - 1)
+                grams = pa.array([data[6 * i : 6 * j] for i, j in zip(begin[:-1], begin[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], grams], names=[*names, "grams"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, schema + ", size int, grams binary")
+    return rows.mapInArrow(run, schema + ", grams binary")
 
 
-def block_parts(rows: DataFrame, blocks: DataFrame, n: int, heavy, part: int = PART) -> DataFrame:
-    """(kid, size, grams, label, i, x, y): the sets of the documents of each block (node, label), once a block, and
-    where a block has several parts, once for each pair of parts (x, y) that the document's part i belongs to."""
+def block_parts(rows: DataFrame, blocks: DataFrame, n: int, part: int = PART) -> DataFrame:
+    """(kid, label, i, x, y, grams): the sets of the documents of each block (node, label), once a block, and where a
+    block has several parts, once for each pair of parts (x, y) that the document's part i belongs to. A document that
+    has several rows comes several times."""
     sized = blocks.join(blocks.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label")
     parts = F.ceil(F.col("m") / part).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    spread = sized.select(F.col("node").alias("kid"), "label", mine.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    spread = spread.select("kid", "label", "i", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"))
-    inside = sized_join(rows.select("kid", "text"), blocks.select(F.col("node").alias("kid")), ["kid"], "left_semi").dropDuplicates(["kid"])
-    return _packed_sets(inside, n, heavy).join(spread, "kid")
+    spread = sized.select(F.col("node").alias("kid"), "label", mine.alias("i"), parts.alias("p"))
+    packed = _packed_sets(sized_join(rows.select("kid", "text"), spread, ["kid"], "inner").select("kid", "label", "i", "p", "text"), n)
+    each = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    return each.select("kid", "label", "i", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"), "grams")
+
+
+def part_sets(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], int | None]:
+    """(kids, sets, first place of the second part) of a group of ``block_parts``."""
+    x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+    pdf = pdf.drop_duplicates("kid").sort_values(["i", "kid"])
+    return pdf["kid"].to_numpy(), [unpack(g) for g in pdf["grams"]], None if x == y else int((pdf["i"] == x).sum())
 
 
 def verified(rows: DataFrame, blocks: DataFrame, n: int, t: float, heavy, part: int = PART) -> DataFrame:
     """(a, b, jaccard) of the documents of each block whose sets reach the threshold, a < b."""
+    shared = rows.sparkSession.sparkContext.broadcast(heavy)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        pdf = pdf.sort_values(["i", "kid"])
-        sets = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
-        sizes, kid = pdf["size"].to_numpy().astype(np.int64), pdf["kid"].to_numpy()
-        found = trie_pairs(sets, sizes, t, None if x == y else int((pdf["i"] == x).sum()))
+        kid, sets, left = part_sets(pdf)
+        sets = [np.sort(ordered(s, shared.value)) for s in sets]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        found = trie_pairs(sets, sizes, t, left)
         i, j, o = (np.array(v, np.int64) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         a, b = kid[i], kid[j]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "jaccard": o / np.maximum(sizes[i] + sizes[j] - o, 1)})
 
-    return block_parts(rows, blocks, n, heavy, part).groupBy("label", "x", "y").applyInPandas(run, "a long, b long, jaccard double")
+    return block_parts(rows, blocks, n, part).groupBy("label", "x", "y").applyInPandas(run, "a long, b long, jaccard double")
 
 
 def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = EXTRA, id_col: str = "doc_id", text_col: str = "text"):
