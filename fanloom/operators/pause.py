@@ -35,7 +35,7 @@ def resume(schedule: DataFrame, key: str, rebase: bool = True) -> DataFrame:
 def candidates(tasks: DataFrame, schedule: DataFrame) -> DataFrame:
     """Tasks that are to move, with ``direction``: waiting ones of paused types, paused ones of types that resume."""
     kinds = schedule.where(F.col("pause_state") != "active").select("type_key", "pause_state")
-    moving = tasks.join(F.broadcast(kinds), "type_key")
+    moving = tasks.join(kinds, "type_key")
     out = (F.col("pause_state") == "paused") & (F.col("state") == S.PENDING)
     back = F.col("pause_state").startswith("resuming") & (F.col("state") == S.PAUSED)
     return moving.where(out | back).withColumn("direction", F.when(out, "pause").otherwise("resume"))
@@ -61,7 +61,7 @@ def reconcile(tasks: DataFrame, schedule: DataFrame, now: datetime, chunk: int =
     of the type's waiting tasks of all jobs, or from the frontier."""
     moves = select_moves(tasks, schedule, chunk, budget)
     base = bases(tasks.where(F.col("state") == S.PAUSED), tasks, schedule, now, within_job=False).select("type_key", "base", "batch_size", "gap_seconds")
-    rows = moves.join(F.broadcast(base), "type_key", "left")
+    rows = moves.join(base, "type_key", "left")
     c, k = F.floor((F.col("r") - 1) / chunk), (F.col("r") - 1) % chunk
     span = (F.floor((chunk - 1) / F.col("batch_size")) + 1) * F.col("gap_seconds")
     key = F.col("base") + c * span + F.floor(k / F.col("batch_size")) * F.col("gap_seconds")

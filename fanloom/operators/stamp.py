@@ -60,7 +60,8 @@ def stamp(new: DataFrame, existing: DataFrame, schedule: DataFrame, now: datetim
 
     ``order`` gives the total order within a job and type; ``index`` names a column that holds k already."""
     k = F.col(index) if index else F.row_number().over(Window.partitionBy("job_id", "type_key").orderBy(*order)) - 1
-    rows = new.withColumn("slot_k", k.cast("bigint")).join(F.broadcast(bases(new, existing, schedule, now)), ["job_id", "type_key"])
+    # the numbered rows are partitioned by the join's keys already
+    rows = new.withColumn("slot_k", k.cast("bigint")).join(bases(new, existing, schedule, now), ["job_id", "type_key"])
     return rows.withColumn("schedule_order", slot_order(F.col("base"), F.col("slot_k"), F.col("batch_size"), F.col("gap_seconds"))).withColumn(
         "state", initial_state(F.col("pause_state"))
     ).drop("slot_k", "base", "batch_size", "gap_seconds", "pause_state")

@@ -49,7 +49,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def schedule(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    return spark.createDataFrame(SCHEDULE_ROWS, "type_key string, batch_size int, gap_seconds double, max_attempts int, pause_state string")
+    """A local relation, whose size the optimizer knows."""
+    values = ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in SCHEDULE_ROWS)
+    return spark.sql(f"select type_key, cast(batch_size as int), cast(gap_seconds as double), cast(max_attempts as int), pause_state from values {values} as t(type_key, batch_size, gap_seconds, max_attempts, pause_state)")
 
 
 def company(spark: SparkSession, sf_dir: str) -> DataFrame:
