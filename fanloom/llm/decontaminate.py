@@ -86,6 +86,7 @@ def _windows(column: pa.Array, tile: int):
 def item_windows(benchmark: DataFrame, tile: int = TILE, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(seed, item_id, i, item_words, span) of the benchmark."""
 
+    @vec.tidy
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
@@ -106,6 +107,7 @@ def _bitmap(seeds: DataFrame, n: int) -> np.ndarray:
     while bits < 16 * n and bits < _MOST_BITS:
         bits *= 2
 
+    @vec.tidy
     def run(batches):
         own = np.zeros(bits // 8, np.uint8)
         for batch in batches:
@@ -131,6 +133,7 @@ def contaminated(
     bits = spark.sparkContext.broadcast(_bitmap(seeds, n))
     short = [r[0] for r in seeds.where(F.col("span") < tile).select("span").distinct().collect()]
 
+    @vec.tidy
     def scan(batches):
         hit_bits = bits.value
         last = np.uint64(len(hit_bits) - 1)

@@ -58,6 +58,7 @@ def tokens(column: pa.Array):
 def count_words(texts: DataFrame) -> DataFrame:
     """(kind, h, n): counts of word hashes (kind 0), of their bytes and ends (kind 1), and of documents (kind 2)."""
 
+    @vec.tidy
     def run(batches):
         held, total = [], 0
         bytes_ = np.zeros(257, np.int64)
@@ -351,6 +352,7 @@ def train(texts: DataFrame, lex: Lexicon, share: int = SHARE, rounds: int = ROUN
         shared = spark.sparkContext.broadcast((model, lex))
         rate = RATE / (1 + k)
 
+        @vec.tidy
         def run(batches):
             base, lex_ = shared.value
             own = Gru(lex_.frequency)
@@ -385,6 +387,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = train(rows.select(F.xxhash64("doc_id", "text").alias("h"), "text"), lex, share, rounds)
     shared = docs.sparkSession.sparkContext.broadcast((model, lex))
 
+    @vec.tidy
     def run(batches):
         model_, lex_ = shared.value
         for batch in batches:

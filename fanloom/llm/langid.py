@@ -233,8 +233,8 @@ def fit(texts: list[str], labels: list[str], pieces: list[bytes], rounds: int =
     lattice = Lattice(pieces)
     prob = np.full((lattice.size, len(langs)), 1.0 / lattice.size)
     blocks = []
-    for i in range(0, len(short), 20_000):
-        own = short[i : i + 20_000]
+    for i in range(0, len(short), 5_000):
+        own = short[i : i + 5_000]
         b, o, order, ends = _by_length([parts[k] for k in own])
         blocks.append((lattice.edges(b, o), ends, weight[np.array(own)[order]]))
     for _ in range(rounds):
@@ -252,6 +252,7 @@ def fit(texts: list[str], labels: list[str], pieces: list[bytes], rounds: int =
         if own:
             floor[k] = np.median(own)
     model.floor = floor
+    vec.release()
     return model
 
 
@@ -288,6 +289,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(doc_id, lang_pred, posterior, ll_per_byte, n_words, accepted), a row for each of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @vec.tidy
     def run(batches):
         m = shared.value
         for batch in batches:
@@ -315,6 +317,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
+    @vec.tidy
     def run(batches):
         m = shared.value
         for batch in batches:

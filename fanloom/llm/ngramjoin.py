@@ -89,6 +89,7 @@ def bands(least: np.ndarray, rows: int) -> np.ndarray:
 def sketches(rows: DataFrame, n: int, count: int, width: int) -> DataFrame:
     """(k1, k2, kid, doc_id, size, same1, same2, bands): two hashes of the whole set, and its band hashes."""
 
+    @vec.tidy
     def run(batches):
         for batch in batches:
             for a, values, begin in gram_sets(batch.column(4), n):
@@ -126,6 +127,7 @@ def star_links(sets: DataFrame) -> DataFrame:
 
     One shuffle of (band hash, kid); the runs of equal hashes are found in the sorted partitions."""
 
+    @vec.tidy
     def run(batches):
         last_h, last_a = None, 0
         for batch in batches:
@@ -146,6 +148,7 @@ def star_links(sets: DataFrame) -> DataFrame:
 def heavy_grams(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent n-grams and their document counts (of blocks of documents in which they occur repeatedly)."""
 
+    @vec.tidy
     def run(batches):
         held, total = [], 0
 
@@ -193,6 +196,7 @@ def postings(rows: DataFrame, n: int, t: float, buckets: int, heavy) -> DataFram
     """(bucket, heads, posts): packed beginnings of the sets of ``rows``, which have (kid, label, text) last."""
     shared = rows.sparkSession.sparkContext.broadcast(heavy)
 
+    @vec.tidy
     def run(batches):
         own_heavy = shared.value
         for batch in batches:
@@ -292,6 +296,8 @@ def counted_links(packed: DataFrame, t: float, extra: int) -> DataFrame:
         gram[:, :6] = post["gram"]
         gram = gram.view(np.uint64)[:, 0]
         a, b, sa, sb, c = shared_beginnings(heads, gram, post["at"], t, extra)
+        del pdf, heads, post, gram
+        vec.release()
         swap = a > b
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         o = needed(sa, sb, t)
@@ -379,6 +385,7 @@ def _packed_sets(rows: DataFrame, n: int) -> DataFrame:
     """``rows`` end with the text, which becomes ``grams``: the set's n-grams, packed."""
     names = rows.columns[:-1]
 
+    @vec.tidy
     def run(batches):
         for batch in batches:
             for a, values, begin in gram_sets(batch.column(batch.num_columns - 1), n):

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fanloom.llm import vec
 from fanloom.session import fresh
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_UNITS = 400_000
+_UNITS = 200_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -204,11 +205,12 @@ def encode_column(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
     place, kept = docs.columns.index(text_col), docs.columns
 
+    @vec.tidy
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                own = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 250):
+                own = batch.slice(start, 250)
                 texts = own.column(place).to_pylist()
                 data = [v.encode_bytes(t) if t else b"" for t in texts]
                 none = np.array([t is None for t in texts], bool)
@@ -239,6 +241,7 @@ def decode_column(df: DataFrame, path: str = VOCABULARY, ids_col: str = "ids", o
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])
     place, kept = df.columns.index(ids_col), df.columns
 
+    @vec.tidy
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
