@@ -5,8 +5,8 @@ all others are one unknown word that is spelled byte by byte from the corpus's b
 a complete likelihood, its end included. The output layer is factored: words sorted by frequency form classes of equal
 size, and a word's probability is that of its class times that within the class.
 
-Training takes every ``SHARE``-th document (by hash), whole, by truncated backpropagation over windows of ``WINDOW``
-words with the state carried from window to window. Each partition trains a copy of the model, the copies are averaged
+Training takes every document (with ``share``, every so many-th by hash), whole, by truncated backpropagation over
+windows of ``WINDOW`` words with the state carried from window to window. Each partition trains a copy of the model, the copies are averaged
 by their words (in Spark, block by block), and a further round starts from the average. What is gathered from the corpus
 (counts, and parameters of each partition) grows with it; the model's size is fixed.
 
@@ -37,7 +37,7 @@ VOCABULARY = 4096
 CLASSES = 64
 HIDDEN = 32
 EMBEDDING = 24
-SHARE = 32
+SHARE = 1
 ROUNDS = 2
 WINDOW = 24
 RATE = 0.08

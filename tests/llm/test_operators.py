@@ -173,6 +173,15 @@ def test_scores(docs, corpus, none):
     assert grulm.score_documents(none, share=2, rounds=1).count() == 0
 
 
+def test_every_document_trains(spark):
+    """With the query's own parameters, a document of any hash changes the model."""
+    lex = grulm.lexicon(spark.createDataFrame([("one two three two",)], "text string"))
+    first = grulm.Gru(lex.frequency).flat()
+    for h in (1, 17, 31):
+        texts = spark.createDataFrame([(h, "one two three two")], "h long, text string")
+        assert (grulm.train(texts, lex, grulm.SHARE, grulm.ROUNDS).flat() != first).any()
+
+
 PAGES = "page_id long, url string, html string, host string, shape string, payload string, record_id string"
 
 
