@@ -3,7 +3,7 @@
 The n-grams of all documents have one global order: by how often they occur in the corpus (frequent ones last; counts
 are summed over all data, and n-grams too rare for them to matter share the first rank), then by hash.
 
-1. Documents with equal sets are one node, the one with the least key stands for them.
+1. Documents with equal sets are one node, the one with the least key stands for them until the pairs are listed.
 2. Candidates. If two sets have a Jaccard of at least ``threshold``, they share n-grams among their first ones in the
    order: at least one among the first ``size - overlap + 1`` of each, and ``k + 1`` among the first ``size - overlap
    + 1 + k``. Sets send the n-grams of the longest such beginning, packed, to buckets of the hash space, where pairs
@@ -464,13 +464,16 @@ def node_ids(sets: DataFrame, reps: DataFrame) -> DataFrame:
     return reps.join(ids, "kid")
 
 
-def pair_rows(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, jaccard): pairs of stand-ins, and each stand-in with the documents of the same set."""
-    ids = nodes.select("kid", "doc_id")
-    near = (
-        pairs.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select("x", "y", "jaccard")
-    )
-    same = nodes.where("kid != rep").select("rep", F.col("doc_id").alias("y")).join(ids.toDF("rep", "x"), "rep").select("x", "y", F.lit(1.0).alias("jaccard"))
+def pair_rows(pairs: DataFrame, nodes: DataFrame, part: int = PART) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of all documents: pairs of stand-ins stand for those of all documents of their sets, and
+    the documents of one set are pairs of each other. Sets of over ``part`` documents are paired in parts."""
+    ids = materialise(nodes.select("kid", "rep", "doc_id"), "members")
+    near = pairs.join(ids.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), "a").join(ids.select(F.col("rep").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y", "jaccard")
+    parts = ids.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    own = ids.join(parts, "rep").withColumn("own", F.pmod(F.xxhash64("kid"), "p").cast("int"))
+    left = own.select("rep", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("p") - 1)).alias("j"), F.col("kid").alias("a"), F.col("doc_id").alias("x"))
+    right = own.select("rep", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("kid").alias("b"), F.col("doc_id").alias("y"))
+    same = left.join(right, ["rep", "i", "j"]).where("i < j or a < b").select("x", "y", F.lit(1.0).alias("jaccard"))
     return near.unionByName(same).where("x != y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
 
 

@@ -65,6 +65,21 @@ def test_ngram_join(docs, corpus, none):
     assert ngramjoin.pair_rows(*ngramjoin.near_pairs(none, 4, 0.5)).count() == 0
 
 
+def copies(rows):
+    """The corpus with three near copies of a text that has four equal ones, and further copies of one of them."""
+    near = " ".join(rows[3][1].split(" ")[:-1])
+    return rows + [(k, rows[3][1] if k % 2 else near, *rows[3][2:]) for k in range(90, 96)]
+
+
+def test_ngram_join_has_all_pairs(spark, docs, corpus):
+    rows = copies(corpus)
+    pairs, nodes = ngramjoin.near_pairs(spark.createDataFrame(rows, docs.schema).repartition(3), 4, 0.5)
+    for part in (ngramjoin.PART, 2):
+        got = [(r.doc_a, r.doc_b) for r in ngramjoin.pair_rows(pairs, nodes, part).collect()]
+        once = [p for p in got if 6 not in p]  # id 6 has two texts
+        assert set(got) == expected_ids(rows, 4, 0.5) and len(once) == len(set(once))
+
+
 def test_minhash(docs, corpus, none):
     got = {(r.doc_a, r.doc_b) for r in minhash.near_duplicates(docs).collect()}
     want = expected_ids(corpus, 3, 0.6)
