@@ -4,8 +4,8 @@ A document's shingles (distinct ``n``-word windows) go through ``BANDS * ROWS``
 and shift, modulo 2**64) in vectorised numpy; the least value under each is its signature. Signatures are cut into
 bands. Documents with a band in common are linked in Spark (each with the least document of the band, so that a group
 costs links in proportion to its size), connected components of the links are blocks, and in each block all pairs that
-share a band are verified with the exact Jaccard of their shingle sets. Documents with equal sets are joined first and
-appear as pairs with the one of least key. With 30 bands of 5 rows a pair of Jaccard 0.6 shares a band with
+share a band are verified with the exact Jaccard of their shingle sets. Documents with equal sets are joined first; the
+pairs of the one of least key then hold for each of them, and they are pairs of each other. With 30 bands of 5 rows a pair of Jaccard 0.6 shares a band with
 probability 0.91, one of 0.7 with 0.996.
 
 Defined cases

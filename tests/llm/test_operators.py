@@ -87,6 +87,13 @@ def test_minhash(docs, corpus, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_minhash_recall_of_pairs(spark, docs, corpus):
+    rows = copies(corpus)
+    got = {(r.doc_a, r.doc_b) for r in minhash.near_duplicates(spark.createDataFrame(rows, docs.schema).repartition(3)).collect()}
+    want = expected_ids(rows, 3, 0.6)
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_keep_one(docs, corpus):
     kept = [(r.doc_id, r.text) for r in ngramjoin.keep_one(docs, 4, 0.5).collect()]
     nodes, pairs = brute_groups(corpus, 4, 0.5)
