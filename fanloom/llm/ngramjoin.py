@@ -1,7 +1,9 @@
 """Exact Jaccard self-join of documents over word n-grams, by a prefix tree.
 
-The n-grams of all documents have one global order: by how often they occur in the corpus (frequent ones last; counts
-are summed over all data, and n-grams too rare for them to matter share the first rank), then by hash.
+The n-grams of all documents have one global order: by how often they occur (frequent ones last), then by hash. Counts
+are those of local heavy hitters only: each block of about 4 million n-grams of a partition gives the ones it has at
+least ``_LOCAL`` times, and these are summed. N-grams spread thinly lose counts, and those without any share the first
+rank. So the order depends on the partitioning, and with it the number of candidates; the pairs don't.
 
 1. Documents with equal sets are one node, the one with the least key stands for them until the pairs are listed.
 2. Candidates. If two sets have a Jaccard of at least ``threshold``, they share n-grams among their first ones in the
