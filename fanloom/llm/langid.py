@@ -6,9 +6,13 @@ piece too (with a floor probability), so that every text can be cut. Piece proba
 maximisation (expected piece counts from the forward-backward algorithm) on a bounded sample of labelled rows:
 ``SAMPLE`` documents of each language, those with the lowest hash.
 
-Words are the texts between white space, in lower case, with a mark in front as in the vocabulary. They are scored in
-numpy, all words of a batch at once, byte position by byte position; scores of words seen before come from a bounded
-table in each worker.
+Words are the texts between white space, in lower case, with a mark in front as in the vocabulary. Words of at most
+``SHORT`` bytes are scored in numpy, all words of a batch at once, byte position by byte position (no probability
+underflows there: every byte has ``FLOOR`` at least); a longer one, such as a page of an unspaced script, goes alone
+through the same recursion, with a scale of its own for each language and position, in time linear in its length. Both
+serve the fit as well, so that words of any length count in it. Scores of words seen before come from a bounded table in
+each worker. A word's score is rounded to single precision before any use and a text's score is summed over its own
+words only, so that neither depends on what else a worker has seen.
 
 Decision
     ``lang_pred`` is the language of highest likelihood (ties: the first in the order of names). A word is unlikely if
@@ -24,6 +28,7 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,6 +43,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 400
 ROUNDS = 4
 FLOOR = 1e-7
+SHORT = 40  # 1e-7 ** 40 is above the least double
 UNLIKELY = 0.05
 MARGIN = 2
 _MARK = "▁".encode()
@@ -71,10 +77,34 @@ class Lattice:
         h = vec.hashes(buf, off[:-1], off[1:])
         order = np.argsort(h)
         self.keys, self.ids = h[order], order.astype(np.int32)
-        self.size, self.longest = len(known), int(np.diff(off).max())
+        self.size, self.sizes = len(known), np.unique(np.diff(off)).tolist()
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
+    def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, pieces) of the hashes that are pieces."""
+        may = np.flatnonzero(self.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.keys, h[may]), len(self.keys) - 1)
+        hit = self.keys[place] == h[may]
+        return may[hit], self.ids[place[hit]]
+
+    def uses(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all pieces in one word, sorted by end."""
+        buf = np.frombuffer(word, np.uint8)
+        p, q = vec._powers(len(buf) + 1)
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(vec._TABLE[buf] * p[:-1], out=sums[1:])
+        start, end, piece = [], [], []
+        for size in self.sizes:
+            if size <= len(buf):
+                at, found = self._found(vec.mix((sums[size:] - sums[:-size]) * q[: len(buf) + 1 - size]))
+                start.append(at)
+                end.append(at + size)
+                piece.append(found)
+        start, end, piece = np.concatenate(start), np.concatenate(end), np.concatenate(piece)
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], piece[order]
+
     def edges(self, buf: np.ndarray, off: np.ndarray):
         """For each end position e (in words sorted by length, longest first): [(length, words, pieces)]."""
         n = np.diff(off)
@@ -87,36 +117,82 @@ class Lattice:
             live = int(np.searchsorted(-n, -e, "right"))  # words at least e long come first
             at = starts[:live] + e
             steps = []
-            for size in range(1, min(self.longest, e) + 1):
-                h = vec.mix((sums[at] - sums[at - size]) * q[at - size])
-                may = np.flatnonzero(self.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                if not len(may):
-                    continue
-                place = np.minimum(np.searchsorted(self.keys, h[may]), len(self.keys) - 1)
-                hit = self.keys[place] == h[may]
-                if hit.any():
-                    steps.append((size, may[hit], self.ids[place[hit]]))
+            for size in self.sizes:
+                if size > e:
+                    break
+                which, found = self._found(vec.mix((sums[at] - sums[at - size]) * q[at - size]))
+                if len(which):
+                    steps.append((size, which, found))
             out.append(steps)
         return out
 
 
-def forward(edges, words: int, prob: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-likelihoods (word, language), and the scaled forward variables with their log scales (position, word)."""
-    langs = prob.shape[1]
-    alpha = np.zeros((len(edges) + 1, words, langs))
-    scale = np.zeros((len(edges) + 1, words, 1))
+def forward(edges, words: int, prob: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Log-likelihoods (word, language) of words of at most ``SHORT`` bytes, the forward variables (position, word), and
+    the log of their scale, which needn't differ from 0 here."""
+    alpha = np.zeros((len(edges) + 1, words, prob.shape[1]))
     alpha[0] = 1
     for e, steps in enumerate(edges, 1):
         for size, at, piece in steps:
-            alpha[e, at] += alpha[e - size, at] * prob[piece] * np.exp(scale[e - size, at] - scale[e - 1, at])
-        top = alpha[e].max(1, keepdims=True)
-        live = top[:, 0] > 0
-        scale[e] = scale[e - 1]
-        scale[e, live] += np.log(top[live])
-        alpha[e, live] /= top[live]
-    rows = np.arange(words)
+            alpha[e, at] += alpha[e - size, at] * prob[piece]
     with np.errstate(divide="ignore"):
-        return np.log(alpha[ends, rows]) + scale[ends, rows], alpha, scale
+        return np.log(alpha[ends, np.arange(words)]), alpha, 0.0
+
+
+def chain(start: list[int], first: list[int], p: list[float]) -> np.ndarray:
+    """Logs of the forward variables of one language in one word of any length: piece uses ``first[e] .. first[e + 1]``
+    end at byte e, start at ``start`` (the last one first) and have probability ``p``. Each position has a power of two
+    as its scale."""
+    value, power, ldexp = [1.0], [0], math.ldexp
+    changed = 0  # positions from there on have the same scale
+    for e in range(1, len(first) - 1):
+        a, b = first[e], first[e + 1]
+        if start[b - 1] >= changed:
+            v = 0.0
+            for s, x in zip(start[a:b], p[a:b]):
+                v += value[s] * x
+            if v >= 1e-60:
+                value.append(v)
+                power.append(power[-1])
+                continue
+        top = max([power[start[k]] for k in range(a, b)])
+        v = 0.0
+        for k in range(a, b):
+            s = start[k]
+            x = power[s]
+            v += value[s] * p[k] if x == top else ldexp(value[s] * p[k], x - top)
+        if v < 1e-60:
+            v, shift = math.frexp(v)
+            top += shift
+        if top != power[-1]:
+            changed = e
+        value.append(v)
+        power.append(top)
+    return np.log(np.array(value)) + np.array(power) * math.log(2)
+
+
+def _chains(uses, length: int, prob: np.ndarray) -> np.ndarray:
+    """(position, language) logs of the forward variables of a long word."""
+    start, end, piece = uses
+    first = np.searchsorted(end, np.arange(length + 2)).tolist()
+    start = start.tolist()
+    return np.stack([chain(start, first, prob[piece, k].tolist()) for k in range(prob.shape[1])], 1)
+
+
+def long_scores(lattice: Lattice, word: bytes, prob: np.ndarray) -> np.ndarray:
+    return _chains(lattice.uses(word), len(word), prob)[-1]
+
+
+def long_counts(uses, length: int, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in each language in one word of any length, which occurs ``weight`` times."""
+    start, end, piece = uses
+    before = _chains(uses, length, prob)
+    order = np.lexsort((end, length - start))
+    after = _chains((length - end[order], length - start[order], piece[order]), length, prob)[::-1]
+    share = np.exp(np.minimum(before[start] + np.log(prob[piece]) + after[end] - before[-1], 0))
+    counts = np.zeros(prob.shape)
+    np.add.at(counts, piece, share * weight)
+    return counts
 
 
 def expected_counts(edges, alpha, scale, prob: np.ndarray, ends: np.ndarray, ll: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -175,17 +251,20 @@ class Model:
         return self._ready
 
     def word_scores(self, parts: list[bytes]) -> np.ndarray:
+        """(word, language) log-likelihoods, rounded to single precision."""
         lattice = self._tables()[0]
         out = np.empty((len(parts), len(self.langs)))
         at = np.argsort([-len(x) for x in parts], kind="stable")
-        i = 0
+        i = sum(len(x) > SHORT for x in parts)
+        for k in at[:i]:
+            out[k] = long_scores(lattice, parts[k], self.prob)
         while i < len(at):  # bound the forward table: positions times words
             j = min(len(at), i + max(1, 400_000 // (len(parts[at[i]]) + 1)))
             buf, off, order, ends = _by_length([parts[k] for k in at[i:j]])
             ll, _, _ = forward(lattice.edges(buf, off), len(ends), self.prob, ends)
             out[at[i:j][order]] = ll
             i = j
-        return out
+        return out.astype(np.float32).astype(np.float64)
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, language) log-likelihoods, words and their bytes of each row, (row, language) unlikely words."""
@@ -202,9 +281,10 @@ class Model:
             if len(lost):
                 score[lost] = self.word_scores(_words_of(low, s[where[lost]], e[where[lost]]))
                 keys[slot[lost]], values[slot[lost]] = unique[lost], score[lost]
-            sums = np.zeros((len(h) + 1, len(self.langs)))
-            np.cumsum(score[back], axis=0, out=sums[1:])
-            total.append(sums[first[1:]] - sums[first[:-1]])
+            sums, some = np.zeros((b - a, len(self.langs))), np.flatnonzero(np.diff(first))
+            if len(some):
+                sums[some] = np.add.reduceat(score[back], first[:-1][some], axis=0)
+            total.append(sums)
             odd = np.zeros((len(h) + 1, len(self.langs)), np.int64)
             np.cumsum((score / (e - s + len(_MARK))[where][:, None] < self.floor)[back], axis=0, out=odd[1:])
             unlikely.append(odd[first[1:]] - odd[first[:-1]])
@@ -229,7 +309,7 @@ def fit(texts: list[str], labels: list[str], pieces: list[bytes], rounds: int =
     weight = np.zeros((len(unique), len(langs)))
     np.add.at(weight, (back, lang[row]), 1)
     parts = _words_of(low, s[where], e[where])
-    short = [k for k, x in enumerate(parts) if len(x) <= 40]  # the fit alone leaves out words of over 40 bytes
+    short = [k for k, x in enumerate(parts) if len(x) <= SHORT]
     lattice = Lattice(pieces)
     prob = np.full((lattice.size, len(langs)), 1.0 / lattice.size)
     blocks = []
@@ -237,11 +317,14 @@ def fit(texts: list[str], labels: list[str], pieces: list[bytes], rounds: int =
         own = short[i : i + 5_000]
         b, o, order, ends = _by_length([parts[k] for k in own])
         blocks.append((lattice.edges(b, o), ends, weight[np.array(own)[order]]))
+    long = [(lattice.uses(x), len(x), weight[k]) for k, x in enumerate(parts) if len(x) > SHORT]
     for _ in range(rounds):
         counts = np.zeros_like(prob)
         for edges, ends, w in blocks:
             ll, alpha, scale = forward(edges, len(ends), prob, ends)
             counts += expected_counts(edges, alpha, scale, prob, ends, ll, w)
+        for uses, length, w in long:
+            counts += long_counts(uses, length, prob, w)
         prob = counts / np.maximum(counts.sum(0), 1) + FLOOR
         prob /= prob.sum(0)
     model = Model(pieces, langs, prob, np.full(len(langs), -np.inf))
@@ -257,13 +340,14 @@ def fit(texts: list[str], labels: list[str], pieces: list[bytes], rounds: int =
 
 
 def sample(docs: DataFrame, per_lang: int = SAMPLE, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """At most so many different labelled texts of each language: those of the lowest hash, whole."""
+    """At most so many different labelled texts of each language: those of the lowest hash, whole. Copies count once."""
     labelled = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     w = Window.partitionBy("lang").orderBy("h")
-    lowest = rows.select("lang", "h").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("lang", "h").distinct()
+    lowest = rows.select("lang", "h").withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= per_lang).select("lang", "h").distinct()
     # at most per_lang rows a language, whatever the size of the corpus
-    found = sorted({(r[1], r[0]) for r in rows.join(F.broadcast(lowest), ["lang", "h"], "left_semi").select("text", "lang").collect()})
+    found = rows.join(F.broadcast(lowest), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    found = sorted((r[0], r[1]) for r in found.select("lang", "text").collect())
     return [text for _, text in found], [lang for lang, _ in found]
 
 

@@ -303,3 +303,66 @@ def test_gru_learns():
         grulm.train_on(m, ids, begin, squares, lanes=8)
     assert grulm.score(m, ids, begin).sum() > before * 0.5
     del rng
+
+
+def test_long_words_equal_short_ones_and_never_underflow():
+    pieces = [b"ab", b"abc", b"bc", b"ca", b"aa", b"cab"]
+    lattice = langid.Lattice(pieces)
+    rng = np.random.default_rng(11)
+    prob = rng.random((lattice.size, 2)) + 1e-3
+    words = [b"abcab", b"a", b"aabca", b"zabcz", b"abc" * 8]
+    buf, off, order, ends = langid._by_length(words)
+    edges = lattice.edges(buf, off)
+    ll, alpha, scale = langid.forward(edges, len(words), prob, ends)
+    weight = rng.random((len(words), 2))
+    want = langid.expected_counts(edges, alpha, scale, prob, ends, ll, weight)
+    got = sum(langid.long_counts(lattice.uses(words[k]), len(words[k]), prob, weight[place]) for place, k in enumerate(order))
+    assert np.allclose(got, want)
+    for place, k in enumerate(order):
+        assert np.allclose(langid.long_scores(lattice, words[k], prob), ll[place])
+    uneven = np.full((lattice.size, 2), 1e-7)
+    uneven[:, 1] = 0.5
+    one = langid.long_scores(lattice, b"z" * 5000, uneven)
+    assert np.allclose(one, [5000 * np.log(1e-7), 5000 * np.log(0.5)])
+
+
+def language_model():
+    rng = random.Random(7)
+    pools = {"aa": ["the", "thing", "ation", "her"], "bb": ["der", "schen", "ung", "keit"]}
+    make = lambda p: " ".join("".join(rng.choice(pools[p]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(5, 40)))
+    texts = [(make(k), k) for k in pools for _ in range(60)]
+    return langid.fit([t for t, _ in texts] + ["their" * 100], [k for _, k in texts] + ["aa"], langid.read_pieces()), make
+
+
+def test_a_long_word_leaves_the_documents_after_it_alone():
+    model, make = language_model()
+    texts = [make("aa"), make("bb"), make("aa"), make("bb")]
+    own = [langid._decide(model, pa.array([t])) for t in texts]
+    for long in ("belich" * 50, "thing" * 1000, "中文" * 3000, "🙂" * 500):
+        best, mean, share, words, ok = langid._decide(model, pa.array([long, *texts]))
+        assert np.isfinite(mean).all() and np.isfinite(share).all()
+        for k, one in enumerate(own):
+            assert [x[k + 1] for x in (best, mean, share, words, ok)] == [x[0] for x in one]
+
+
+def test_scores_do_not_depend_on_what_was_seen_before():
+    model, make = language_model()
+    texts = [make(k) for k in ("aa", "bb") * 40] + ["thing" * 30, "", None]
+    first, again = model.texts(pa.array(texts)), model.texts(pa.array(texts))
+    alone = [model.texts(pa.array([t], pa.string()))[0][0] for t in texts]
+    assert (first[0] == again[0]).all() and (first[0] == np.array(alone)).all()
+
+
+def test_unspaced_texts_take_linear_time():
+    import time
+
+    model, _ = language_model()
+    rng = random.Random(13)
+    chinese = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000))
+    model.texts(pa.array(["warm"]))
+    begin = time.process_time()
+    total, *_ = model.texts(pa.array([chinese]))
+    assert time.process_time() - begin < 5 and np.isfinite(total).all()
+    begin = time.process_time()
+    total, *_ = model.texts(pa.array(["".join(rng.choice("theingsor") for _ in range(1 << 20))]))
+    assert time.process_time() - begin < 10 and np.isfinite(total).all()
