@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from datetime import datetime, timedelta
 
@@ -12,8 +13,26 @@ from fanloom import schema as S
 from fanloom.config import DEFAULT_SCHEDULE, EngineOptions, Retention, TypeSchedule
 from fanloom.handlers import Registry
 from fanloom.operators import claim, compact, pause, recover, settle, stamp, stats
+from fanloom.operators.rowindex import with_row_index
 from fanloom.session import materialise
-from fanloom.store import SnapshotStore
+from fanloom.store import Conflict, SnapshotStore
+
+TRIES = 5
+
+
+def _retried(f):
+    """Reads again and redoes an operation when another writer committed first, ``TRIES`` times at most."""
+
+    @functools.wraps(f)
+    def run(self, *args, **named):
+        for left in range(TRIES - 1, -1, -1):
+            try:
+                return f(self, *args, **named)
+            except Conflict:
+                if not left:
+                    raise
+
+    return run
 
 
 class JobBuilder:
@@ -36,11 +55,15 @@ class JobBuilder:
         self.specs.append((task_type, df.select("payload", F.struct("n").alias("ord")), True))
         return self
 
+    @_retried
     def dispatch(self, now: datetime) -> int:
-        """Stamps the specifications one after the other and commits job and tasks; returns the number of tasks."""
+        """Stamps the specifications one after the other and commits job and tasks; returns the number of tasks.
+
+        Every payload becomes a task of its own, equal ones too: a task's id comes from its place in the total order,
+        which is counted over range partitions, not in one task."""
         e = self.engine
         base = e.store.version()
-        jobs, old, schedule = e.store.table("job"), e.store.table("task"), e.store.table("schedule")
+        jobs, old, schedule = e.store.table("job", base), e.store.working(base), e.store.table("schedule", base)
         if self.existing and not jobs.where(F.col("id") == self.job_id).limit(1).count():
             raise KeyError(f"job {self.job_id} isn't there")
         specs: list[tuple[str, list[DataFrame]]] = []
@@ -58,15 +81,16 @@ class JobBuilder:
                 rows = f if rows is None else rows.unionByName(f)
             key = S.type_key(F.lit(self.type), F.lit(kind))
             new = rows.select(F.lit(self.job_id).alias("job_id"), key.alias("type_key"), "payload", "part", "ord", F.lit(kind).alias("payload_type"))
-            stamped = stamp.stamp(new, seen, schedule, now, "part", "ord", "payload")
+            new = with_row_index(new, F.col("part"), F.col("ord"), F.col("payload"), name="place")
+            stamped = stamp.stamp(new, seen, schedule, now, index="place")
             stamped = stamped.withColumns(
                 {
-                    "id": F.md5(F.concat_ws("|", F.lit(self.job_id), F.lit(f"{base}-{k}"), F.col("part").cast("string"), F.to_json(F.struct("ord")), "payload")),
+                    "id": F.md5(F.concat_ws("|", F.lit(self.job_id), F.lit(f"{base}-{k}"), F.col("place").cast("string"))),
                     "parent_task_id": F.lit(self.parent).cast("string"), "task_index": F.lit(0).cast("bigint"), "attempt": F.lit(0), "claimed_by": F.lit(None).cast("string"),
                     "next_attempt_at": F.lit(None).cast("timestamp"), "created_at": F.lit(now), "claimed_at": F.lit(None).cast("timestamp"), "completed_at": F.lit(None).cast("timestamp"),
                 }
             )
-            stamped = materialise(stamped.drop("part", "ord"), "stamped")
+            stamped = materialise(stamped.drop("part", "ord", "place"), "stamped")
             seen = seen.unionByName(stamped.select("job_id", "type_key", "schedule_order", "state"))
             out = stamped if out is None else out.unionByName(stamped)
         n = out.count() if out is not None else 0
@@ -88,6 +112,7 @@ class Engine:
         self.spark, self.registry = spark, registry or Registry()
         self.options, self.retention = options or EngineOptions(), retention or Retention()
         self.store = SnapshotStore(spark, root)
+        self.held: list[DataFrame] = []  # what this engine has claimed and not settled
         if not self.store.version():
             self.store.commit(0, {"schedule": spark.createDataFrame([DEFAULT_SCHEDULE.row()], S.SCHEDULE)})
         self.seed_schedules(*self.registry.schedules.values())
@@ -100,7 +125,7 @@ class Engine:
     def continue_(self, job_id: str, job_type: str = "default", parent: str | None = None) -> JobBuilder:
         """More tasks for a job; with ``parent``, a task that must be running, as its children."""
         if parent is not None:
-            mine = self.store.table("task").where((F.col("id") == parent) & (F.col("state") == S.RUNNING))
+            mine = self.store.working().where((F.col("id") == parent) & (F.col("state") == S.RUNNING))
             if not mine.limit(1).count():
                 raise ValueError(f"task {parent} isn't running")
         return JobBuilder(self, job_id, "", job_type, None, True, parent)
@@ -112,6 +137,7 @@ class Engine:
 
     # schedules
 
+    @_retried
     def _schedule(self, change) -> None:
         v = self.store.version()
         self.store.commit(v, {"schedule": change(self.store.table("schedule", v))})
@@ -146,53 +172,91 @@ class Engine:
 
     # loops
 
+    @_retried
     def poll(self, now: datetime, limit: int | None = None) -> DataFrame:
         """Beats and claims; the claimed tasks with their context, committed as running."""
         v, o = self.store.version(), self.options
-        tasks = self.store.table("task", v)
+        tasks = self.store.working(v)
         found, beats = claim.poll(tasks, self.store.table("job", v), self.store.table("schedule", v), self.store.table("heartbeat", v), now, o.claim_batch if limit is None else limit, o.instance_id)
         claimed = materialise(found, "claimed")
-        self.store.commit(v, {"task": settle.merged(tasks, claimed), "heartbeat": beats})
+        some = claimed.limit(1).count() > 0
+        self.store.commit(v, {"heartbeat": beats}, hot=settle.merged(tasks, claimed) if some else None)
+        if some:
+            self.held.append(claimed.select("id"))
         return claimed
 
+    @_retried
     def settle(self, outcomes: DataFrame, now: datetime) -> tuple[int, int]:
-        """Takes outcomes of attempts in; returns how many tasks succeeded and failed (or go again)."""
+        """Takes outcomes of attempts in; returns how many tasks succeeded and failed (or go again). Of several outcomes
+        of one attempt, of whatever kind, one counts."""
         v, o = self.store.version(), self.options
-        tasks, schedule = self.store.table("task", v), self.store.table("schedule", v)
-        done = materialise(settle.complete(tasks, outcomes.where(~F.col("failed")), now, o.instance_id), "done")
-        bad = materialise(settle.fail(tasks, outcomes.where("failed"), schedule, now, o.instance_id, int(o.backoff_base * 1000), int(o.backoff_max * 1000)), "bad")
+        tasks, schedule = self.store.working(v), self.store.table("schedule", v)
+        done, bad = settle.settled(tasks, outcomes, schedule, now, o.instance_id, int(o.backoff_base * 1000), int(o.backoff_max * 1000))
+        done, bad = materialise(done, "done"), materialise(bad, "bad")
+        counts = done.count(), bad.count()
+        if not any(counts):
+            return counts
         columns = tasks.columns
         moved = done.select(*columns).unionByName(bad.select(*columns))
         audit = settle.attempts(done, S.SUCCEEDED).unionByName(settle.attempts(bad, S.FAILED))
-        self.store.commit(v, {"task": settle.merged(tasks, moved)}, {"attempt": audit})
-        return done.count(), bad.count()
+        self.store.commit(v, None, {"attempt": audit}, hot=settle.merged(tasks, moved))
+        return counts
 
     def work(self, now: datetime, limit: int | None = None) -> tuple[int, int]:
-        """Claim, execute and settle once."""
+        """Claim, execute and settle once. What was claimed is held no longer afterwards, whatever happened."""
+        before = len(self.held)
         claimed = self.poll(now, limit)
-        outcomes = materialise(self.registry.execute(claimed, now), "outcomes")
-        return self.settle(outcomes, now)
-
+        try:
+            outcomes = materialise(self.registry.execute(claimed, now), "outcomes")
+            return self.settle(outcomes, now)
+        finally:
+            del self.held[before:]
+
+    def _holding(self, tasks: DataFrame) -> DataFrame:
+        """Ids that this engine holds; claims of which nothing runs any more are forgotten."""
+        running = tasks.where(F.col("state") == S.RUNNING).select("id")
+        self.held = [h for h in self.held if running.join(h, "id", "left_semi").limit(1).count()]
+        keep = running.limit(0)
+        for h in self.held:
+            keep = keep.unionByName(h)
+        return keep
+
+    @_retried
     def recover(self, now: datetime) -> int:
+        """Frees the tasks of instances that are gone, and those that run in this one's name for long without its
+        holding them (as after a restart); their attempts count as abandoned."""
         v, o = self.store.version(), self.options
-        tasks, beats = self.store.table("task", v), self.store.table("heartbeat", v)
-        freed, left = recover.stale(tasks, beats, self.store.table("schedule", v), now, timedelta(seconds=o.stale_after), o.instance_id)
-        freed = materialise(freed, "freed")
-        self.store.commit(v, {"task": settle.merged(tasks, freed), "heartbeat": left}, {"attempt": recover.abandoned(freed, now)})
-        return freed.count()
+        tasks, beats, schedule = self.store.working(v), self.store.table("heartbeat", v), self.store.table("schedule", v)
+        freed, left = recover.stale(tasks, beats, schedule, now, timedelta(seconds=o.stale_after), o.instance_id)
+        own = recover.self_stranded(tasks, schedule, now, timedelta(seconds=o.self_grace), o.instance_id, self._holding(tasks))
+        freed = materialise(freed.select(*tasks.columns).unionByName(own.select(*tasks.columns)), "freed")
+        n, gone = freed.count(), recover.dead(beats, now, timedelta(seconds=o.stale_after), o.instance_id).limit(1).count()
+        if n or gone:
+            self.store.commit(v, {"heartbeat": left}, {"attempt": recover.abandoned(freed, now)} if n else None, hot=settle.merged(tasks, freed) if n else None)
+        return n
 
+    @_retried
     def reconcile(self, now: datetime) -> int:
         v, o = self.store.version(), self.options
-        tasks, schedule = self.store.table("task", v), self.store.table("schedule", v)
+        tasks, schedule = self.store.working(v), self.store.table("schedule", v)
+        if not schedule.where(F.col("pause_state") != "active").limit(1).count():
+            return 0
         moved = materialise(pause.reconcile(tasks, schedule, now, o.reconcile_chunk, o.reconcile_pass).select(*tasks.columns), "moved")
+        n = moved.count()
         after = settle.merged(tasks, moved)
-        self.store.commit(v, {"task": after, "schedule": pause.activated(schedule, after)})
-        return moved.count()
+        active = pause.activated(schedule, after)
+        if n or active.where("pause_state = 'active'").count() != schedule.where("pause_state = 'active'").count():
+            self.store.commit(v, {"schedule": active}, hot=after if n else None)
+        return n
 
+    @_retried
     def refresh(self, now: datetime) -> None:
         v = self.store.version()
-        self.store.commit(v, {"job": stats.refresh(self.store.table("job", v), self.store.table("task", v), now, self.store.table("attempt", v))})
+        jobs = self.store.table("job", v)
+        if jobs.where(F.col("status") == S.ACTIVE).limit(1).count():
+            self.store.commit(v, {"job": stats.refresh(jobs, self.store.table("task", v), now, self.store.table("attempt", v))})
 
+    @_retried
     def compact(self, now: datetime) -> int:
         """Compacts finished jobs, all in one pass: chunks, means, metrics, expiry; their tasks and attempts go."""
         v, o = self.store.version(), self.options
@@ -248,6 +312,7 @@ class Engine:
             mix("avg_ms", "n_avg_ms", w0, w1).alias("avg_ms"), mix("avg_wait_ms", "n_avg_wait_ms", w0, w1).alias("avg_wait_ms"), mix("avg_retry_rate", "n_avg_retry_rate", kept, 1 - kept).alias("avg_retry_rate"),
         )
 
+    @_retried
     def purge(self, now: datetime) -> int:
         v = self.store.version()
         jobs, chunk = self.store.table("job", v), self.store.table("chunk", v)

@@ -53,7 +53,8 @@ def select_moves(tasks: DataFrame, schedule: DataFrame, chunk: int = 10_000, bud
     share = F.greatest(F.lit(1), F.floor(F.floor(F.lit(budget) / F.col("sides")) / F.col("types")))
     slices = types.join(F.broadcast(sides)).select("direction", (F.ceil(share / chunk) * chunk).cast("bigint").alias("slice"))
     r = F.row_number().over(Window.partitionBy("type_key").orderBy(*ORDER))
-    return found.withColumn("r", r).join(F.broadcast(slices), "direction").where(F.col("r") <= F.col("slice")).drop("slice")
+    most = -(-max(budget, 1) // chunk) * chunk  # no slice is longer, so each partition sorts and sends that many at most
+    return found.withColumn("r", r).where(F.col("r") <= most).join(F.broadcast(slices), "direction").where(F.col("r") <= F.col("slice")).drop("slice")
 
 
 def reconcile(tasks: DataFrame, schedule: DataFrame, now: datetime, chunk: int = 10_000, budget: int = 200_000) -> DataFrame:

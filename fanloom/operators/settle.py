@@ -12,14 +12,29 @@ from fanloom.functions.scalars import after, backoff_ms, duration_ms
 from fanloom.operators.stamp import initial_state, with_schedule
 
 
+def once(outcomes: DataFrame) -> DataFrame:
+    """One outcome of each attempt (task_id, attempt): that which ended first, of those a success before a failure, then
+    the one that started first, then the least by the other columns."""
+    first = [c for c in ("ended_at", "failed", "started_at") if c in outcomes.columns]
+    rest = [c for c in outcomes.columns if c not in ("task_id", "attempt", *first)]
+    found = outcomes.groupBy("task_id", "attempt").agg(F.min(F.struct(*first, *rest)).alias("o"))
+    return found.select("task_id", "attempt", "o.*").select(*outcomes.columns)
+
+
 def fenced(tasks: DataFrame, outcomes: DataFrame, owner: str | None = None) -> DataFrame:
     """Outcomes (task_id, attempt, ...) joined to the running tasks they belong to; superseded ones are left out, and
-    of several outcomes of one attempt one counts."""
+    of several outcomes of one attempt one counts (``once``). A batch that holds successes and failures is to go through
+    ``once`` before it is split, so that an attempt can't do both."""
     mine = F.col("state") == S.RUNNING
     if owner is not None:
         mine &= F.col("claimed_by") == owner
-    once = outcomes.dropDuplicates(["task_id", "attempt"])
-    return tasks.where(mine).join(once.withColumnRenamed("task_id", "id"), ["id", "attempt"])
+    return tasks.where(mine).join(once(outcomes).withColumnRenamed("task_id", "id"), ["id", "attempt"])
+
+
+def settled(tasks: DataFrame, outcomes: DataFrame, schedule: DataFrame, now: datetime, owner: str | None = None, base_ms: int = 2000, most_ms: int = 300_000) -> tuple[DataFrame, DataFrame]:
+    """(tasks that succeed, tasks whose attempt failed) of a batch of both; an attempt is in one of them at most."""
+    chosen = once(outcomes)
+    return complete(tasks, chosen.where(~F.col("failed")), now, owner), fail(tasks, chosen.where("failed"), schedule, now, owner, base_ms, most_ms)
 
 
 def complete(tasks: DataFrame, outcomes: DataFrame, now: datetime, owner: str | None = None) -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql.window import Window
 
 from fanloom import schema as S
 from fanloom.config import Retention
+from fanloom.engine import Engine
 from fanloom.functions import reports, scalars
 from fanloom.operators import claim, compact, fanout, pause, recover, settle, stamp, stats
 from fanloom.plans import fixtures as X
 from fanloom.plans import reads
+from fanloom.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -250,6 +252,32 @@ def settle_duplicate_attempts(spark, sf):
     return settle.complete(X.task(spark, sf), o.unionByName(o).unionByName(older), X.NOW).select("id", "attempt").dropDuplicates()
 
 
+@_query("""with d as (select * from fx_schedule where type_key = '__default__')
+select id, attempt, case when job_id % 3 <> 0 then 'Succeeded' when attempt >= coalesce(s.max_attempts, d.max_attempts) then 'Failed' when s.pause_state = 'paused' then 'Paused' else 'Pending' end as state
+from fx_task t left join fx_schedule s using (type_key) cross join d where state = 'Running'""")
+def settle_mixed_batch(spark, sf):
+    """Every running attempt reports a success and a failure; the failure ended first in one job of three."""
+    ran = X.task(spark, sf).where("state = 'Running'").select(F.col("id").alias("task_id"), "attempt", F.col("claimed_at").alias("started_at"), "job_id")
+    early = F.when(F.col("job_id") % 3 == 0, 1).otherwise(0)
+    good = ran.withColumns({"ended_at": F.lit(X.NOW), "failed": F.lit(False)})
+    bad = ran.withColumns({"ended_at": F.lit(X.NOW) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), early), "failed": F.lit(True)})
+    done, again = settle.settled(X.task(spark, sf), good.unionByName(bad).drop("job_id"), X.schedule(spark), X.NOW)
+    return done.select("id", "attempt", "state").unionByName(again.select("id", "attempt", "state"))
+
+
+@_query("""with c as (select tax_code, count(*) as n from fx_company group by 1), k as (select sum(n) as m from c), o as (select i // 1000 as slot, count(*) as n from (select unnest(range((select m from k)::bigint)) as i) group by 1)
+select 'payload' as what, tax_code as name, n as tasks, n as ids from c union all select 'slot', slot::varchar, n, n from o""")
+def dispatch_repeated_payloads(spark, sf):
+    """Payloads that many rows share, through the engine: every row becomes a task with an id and a place of its own."""
+    e = Engine(spark, new_path(spark, "engine"))
+    e.create("taxes", "t").add_tasks("k", X.company(spark, sf).select(F.col("tax_code").alias("payload"))).dispatch(X.NOW)
+    tasks = e.store.table("task")
+    slot = (F.col("schedule_order") - X.EPOCH).cast("bigint").cast("string")
+    numbers = F.count(F.lit(1)).alias("tasks"), F.count_distinct("id").alias("ids")
+    by = lambda what, key: tasks.groupBy(key.alias("name")).agg(*numbers).select(F.lit(what).alias("what"), "name", "tasks", "ids")
+    return by("payload", F.col("payload")).unionByName(by("slot", slot))
+
+
 @_query("select distinct l_linenumber as attempt, cast(least(2000 * pow(2, greatest(0, l_linenumber - 1)), 300000) as double) as delay_ms from lineitem")
 def backoff_schedule(spark, sf):
     return X.table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("attempt")).distinct().withColumn("delay_ms", scalars.backoff_ms(F.col("attempt")))

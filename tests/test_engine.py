@@ -175,3 +175,107 @@ def test_store_splits_ddl():
     from fanloom.store import _split
 
     assert len(_split(S.ATTEMPT)) == 10
+
+
+def outcome(tasks, failed, ended, attempt=None):
+    """Outcomes of claimed tasks."""
+    return tasks.select(
+        F.col("id").alias("task_id"), (F.col("attempt") if attempt is None else F.lit(attempt)).alias("attempt"), F.lit(at(1)).alias("started_at"), F.lit(ended).alias("ended_at"),
+        F.lit(None).cast(f"array<{S.ITEM}>").alias("report"), F.lit(failed).alias("failed"),
+    )
+
+
+def test_repeated_payloads_are_tasks_of_their_own(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/s", options=EngineOptions("w"))
+    df = spark.createDataFrame([("{}",), ("{}",), ('{"n":2}',)], "payload string")
+    assert e.create("n", "j").add_tasks("k", df).add_rows("k", ["{}", "{}"]).dispatch(NOW) == 5
+    assert e.store.table("task").select("id").distinct().count() == 5
+    assert e.poll(at(10), 1).count() == 1 and e.store.table("task").count() == 5
+
+
+def test_dispatch_has_no_window_over_one_partition(spark, tmp_path, monkeypatch):
+    import fanloom.engine as module
+
+    plans = []
+    real = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    e = Engine(spark, f"file://{tmp_path}/s")
+    e.create("n", "j").add_tasks("k", spark.range(50).selectExpr("to_json(struct(id)) as payload")).dispatch(NOW)
+    (plan,) = plans
+    windows = [x for x in plan.split("\n") if "Window [" in x and "row_number" in x]
+    assert windows and all("type_key" not in x.split("row_number")[1].split("ROWS")[0] for x in windows)
+
+
+def test_an_attempt_settles_once_whatever_a_batch_holds(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/s", options=EngineOptions("w"))
+    e.create("n", "j").add_rows("k", ['{"n":1}', '{"n":2}', '{"n":3}']).dispatch(NOW)
+    claimed = e.poll(at(1)).orderBy("payload").select("id", "attempt", "payload")
+    one, two, three = (claimed.where(F.col("payload") == f'{{"n":{k}}}') for k in (1, 2, 3))
+    batch = outcome(one, True, at(2)).unionByName(outcome(one, False, at(2)))  # a tie: the success counts
+    batch = batch.unionByName(outcome(two, False, at(3))).unionByName(outcome(two, True, at(2)))  # the failure ended first
+    batch = batch.unionByName(outcome(three, False, at(2))).unionByName(outcome(three, False, at(2), 0))  # of a superseded attempt
+    assert e.settle(batch.unionByName(batch), at(4)) == (2, 1)
+    rows = {r.payload: r.state for r in e.store.table("task").collect()}
+    assert rows == {'{"n":1}': S.SUCCEEDED, '{"n":2}': S.PENDING, '{"n":3}': S.SUCCEEDED} and e.store.table("task").count() == 3
+    assert e.store.table("attempt").count() == 3
+
+
+def test_a_conflict_is_retried_and_nothing_is_lost(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/s", options=EngineOptions("w"))
+    e.create("n", "j").add_rows("k", ["{}", "{}"]).dispatch(NOW)
+    claimed = e.poll(at(1))
+    real, calls = e.store.commit, []
+
+    def commit(base, *args, **named):
+        if not calls:  # another writer is faster
+            real(base, {})
+        calls.append(base)
+        return real(base, *args, **named)
+
+    e.store.commit = commit
+    assert e.settle(outcome(claimed, False, at(2)), at(3)) == (2, 0) and len(calls) == 2
+    assert e.store.table("task").where(F.col("state") == S.SUCCEEDED).count() == 2 and e.store.table("attempt").count() == 2
+    e.store.commit = lambda base, *args, **named: (_ for _ in ()).throw(Conflict("always"))
+    with pytest.raises(Conflict):
+        e.refresh(at(4))
+
+
+def test_own_tasks_are_freed_after_a_restart_and_not_while_held(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/s", options=EngineOptions("w", self_grace=30.0))
+    e.create("n", "j").add_rows("k", ["{}"]).dispatch(NOW)
+    claimed = e.poll(at(1))
+    assert e.recover(at(100)) == 0  # held
+    again = Engine(spark, e.store.root, options=EngineOptions("w", self_grace=30.0))
+    assert again.recover(at(20)) == 0 and again.recover(at(100)) == 1
+    assert e.settle(outcome(claimed, False, at(2)), at(101)) == (0, 0)
+    assert again.poll(at(102)).first().attempt == 2 and e.store.table("attempt").first().outcome == S.ABANDONED
+
+
+def test_idle_loops_commit_nothing_and_settled_tasks_are_not_rewritten(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/s", options=EngineOptions("w"))
+    e.create("n", "j").add_rows("k", ["{}", "{}", "{}"]).dispatch(NOW)
+    v = e.store.version()
+    assert e.recover(at(1)) == 0 and e.reconcile(at(1)) == 0 and e.compact(at(1)) == 0 and e.purge(at(1)) == 0 and e.store.version() == v
+    cold = lambda: [p for p in e.store._read(e.store.version())["task"] if p.endswith("hot=false")]
+    for k in range(3):
+        kept = cold()
+        e.settle(outcome(e.poll(at(2 + k), 1), False, at(3 + k)), at(4 + k))
+        assert cold()[: len(kept)] == kept and len(cold()) == len(kept) + 1
+    assert e.store.working().count() == 0 and e.store.table("task").count() == 3
+    e.refresh(at(9))
+    v = e.store.version()
+    e.refresh(at(10))  # no active job
+    assert e.store.version() == v and e.store.table("job").first().status == S.COMPLETED
+    e.store.vacuum(1)
+    assert e.store.table("task").count() == 3
+
+
+def test_settled_tasks_are_gathered(spark, tmp_path, monkeypatch):
+    import fanloom.store as module
+
+    monkeypatch.setattr(module, "_MOST", 2)
+    s = SnapshotStore(spark, f"file://{tmp_path}/s")
+    row = lambda k, state: (f"{k}", "j", None, 0, "{}", "k", "j|k", state, 1, None, None, NOW, None, None, 0.0)
+    for k in range(4):
+        s.commit(k, None, None, hot=spark.createDataFrame([row(k, S.SUCCEEDED), row(9, S.PENDING)], S.TASK))
+    assert len(s._read(4)["task"]) == 3 and s.table("task").count() == 5 and s.working().count() == 1
