@@ -52,6 +52,21 @@ def schedules(spark: SparkSession, *rows: TypeSchedule) -> DataFrame:
     return spark.createDataFrame([r.row() for r in rows], S.SCHEDULE)
 
 
+def violations() -> Column:
+    """Names of the rules that a row of a schedule table breaks: those of ``TypeSchedule``, for whole tables."""
+    default = F.col("type_key") == S.DEFAULT_KEY
+    gap = F.col("gap_seconds")
+    rules = {
+        "type_key": F.coalesce(F.trim("type_key"), F.lit("")) == "",
+        "batch_size": F.col("batch_size") < 1,
+        "gap_seconds": F.isnan(gap) | (gap <= 0) | (gap == float("inf")),
+        "max_attempts": F.col("max_attempts") < 1,
+        "pause_state": ~F.coalesce(F.col("pause_state").isin(*PAUSE_STATES), F.lit(False)),
+        "default": default & (F.col("batch_size").isNull() | gap.isNull() | F.col("max_attempts").isNull()),
+    }
+    return F.filter(F.array(*[F.when(F.coalesce(broken, F.lit(False)), name) for name, broken in rules.items()]), lambda x: x.isNotNull())
+
+
 @dataclass(frozen=True)
 class EngineOptions:
     """What of a worker's settings has a meaning here; times are in seconds."""
@@ -68,6 +83,8 @@ class EngineOptions:
     compact_jobs: int = 50
     chunk_targets: int = 10_000
     purge_limit: int = 1000
+    recover_every: float = 10.0
+    purge_every: float = 60.0
     reconcile_every: float = 2.0
     reconcile_chunk: int = 10_000
     reconcile_pass: int = 200_000

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fanloom import schema as S
 from fanloom.config import DEFAULT_SCHEDULE, EngineOptions, Retention, TypeSchedule
+from fanloom.functions import scalars
 from fanloom.handlers import Registry
 from fanloom.operators import claim, compact, pause, recover, settle, stamp, stats
 from fanloom.operators.rowindex import with_row_index
@@ -279,7 +280,7 @@ class Engine:
             }
         )
         typed = mine.where("outcome = 'Succeeded'").join(tasks.select(F.col("id").alias("task_id"), "type_key"), "task_id")
-        wait = (F.unix_micros("started_at") - F.unix_micros("claimed_at")) / 1000.0
+        wait = scalars.wait_ms(F.col("claimed_at"), F.col("started_at"))
         means_by_job = typed.groupBy("type_key", "job_id").agg(F.count(F.lit(1)).alias("n"), F.avg("duration_ms").alias("m"), F.avg(wait).alias("w")).join(F.broadcast(ready), "job_id")
         order = F.struct("completed_at", "job_id")
         fresh = compact.weighted_ewma(means_by_job, "type_key", order, "n", "m", "w")

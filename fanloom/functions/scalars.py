@@ -22,6 +22,17 @@ def duration_ms(started: Column, ended: Column) -> Column:
     return F.greatest(F.lit(0), F.floor(micros / 1000)).cast("bigint")
 
 
+def wait_ms(since: Column, until: Column) -> Column:
+    """Milliseconds between two times, null where one is."""
+    return (F.unix_micros(until.cast("timestamp")) - F.unix_micros(since.cast("timestamp"))) / 1000.0
+
+
+def axis_position(ts: Column, start, end) -> Column:
+    """Place of a time on an axis from ``start`` to ``end``: 0 to 1, those outside at its ends."""
+    at, a, b = (F.unix_micros(x.cast("timestamp")) for x in (ts, F.lit(start), F.lit(end)))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (at - a) / F.nullif(b - a, F.lit(0))))
+
+
 def after(ts: Column, secs: Column) -> Column:
     """The timestamp so many seconds later."""
     return F.timestamp_micros((F.unix_micros(ts.cast("timestamp")) + F.round(secs * 1e6)).cast("bigint"))
@@ -66,7 +77,7 @@ def error_chain(error: BaseException) -> str:
     return " -> ".join(parts)
 
 
-def calendar_range(year: int, month: int | None = None, day: int | None = None, hour: int | None = None, minute: int | None = None):
+def calendar_range(year: int, month: int | None = None, day: int | None = None, hour: int | None = None, minute: int | None = None, second: int | None = None):
     """(from, to, bucket): the half-open range of a calendar unit, and the unit of its buckets."""
     from datetime import datetime, timedelta
 
@@ -79,4 +90,6 @@ def calendar_range(year: int, month: int | None = None, day: int | None = None,
     if minute is None:
         return datetime(year, month, day, hour), datetime(year, month, day, hour) + timedelta(hours=1), "minute"
     start = datetime(year, month, day, hour, minute)
-    return start, start + timedelta(minutes=1), "second"
+    if second is None:
+        return start, start + timedelta(minutes=1), "second"
+    return start + timedelta(seconds=second), start + timedelta(seconds=second + 1), "second"

@@ -664,3 +664,6 @@ def lifecycle_summary(spark, sf):
     return done.groupBy("type_key").agg(
         F.count(F.lit(1)).alias("tasks"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.sum("tax_due").cast("decimal(28,2)").alias("tax_due")
     )
+
+
+from fanloom.plans import catalogue_more  # noqa: E402, F401 (adds to QUERIES and ORACLES)

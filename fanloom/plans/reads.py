@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fanloom import schema as S
+from fanloom.config import EngineOptions
 
 UNITS = ("year", "month", "day", "hour", "minute", "second")
 
@@ -87,6 +90,22 @@ def grid_month(hist: DataFrame, year: int, month: int) -> DataFrame:
     return joined.select("cell", F.date_format("bucket", "yyyy-MM-dd").alias("day"), inside.alias("in_month"), F.when(inside, F.coalesce("total", F.lit(0))).otherwise(0).alias("total"))
 
 
+def grid_year(hist: DataFrame, year: int) -> DataFrame:
+    """12 rows of a histogram by month, months without jobs with zeros."""
+    months = hist.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month"), F.make_date(F.lit(year), F.col("id").cast("int"), F.lit(1)).cast("timestamp_ntz").alias("bucket"))
+    return months.join(hist, "bucket", "left").select("month", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "active", "completed", "faulted")])
+
+
+def top(df: DataFrame, count: int, *order: Column) -> DataFrame:
+    """The first rows of an order, with their place from 1 on; only so many rows meet in one partition."""
+    return df.orderBy(*order).limit(count).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def engine_info(spark: SparkSession, options: EngineOptions) -> DataFrame:
+    """(name, value) of an engine's settings, in the order of names."""
+    return spark.createDataFrame(sorted((f.name, str(getattr(options, f.name))) for f in fields(options)), "name string, value string")
+
+
 def range_totals(hist: DataFrame) -> DataFrame:
     return hist.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("total", "active", "completed", "faulted")])
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -39,10 +41,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests), an own temporary one."""
+    """The folder named in spark.checkpoint.dir. Only where that is unset and the master is local (tests), an own
+    temporary one, which goes when the process ends; on a cluster it must be set, as executors share no local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="fanloom-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="fanloom-")
+        atexit.register(shutil.rmtree, own, True)
+        at = "file://" + own
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

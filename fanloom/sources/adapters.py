@@ -36,6 +36,13 @@ def rows(spark: SparkSession, items: Iterable[dict | tuple], schema: str) -> Dat
     return spark.createDataFrame(data, schema + ", ord bigint")
 
 
+def unnested(spark: SparkSession, arrays: dict[str, list], schema: str) -> DataFrame:
+    """Rows of parallel arrays of equal length."""
+    if len({len(a) for a in arrays.values()}) > 1:
+        raise ValueError("the arrays differ in length")
+    return spark.createDataFrame(list(zip(*arrays.values())), schema)
+
+
 def table_rows(df: DataFrame, key: str | None = None, value: Any = None, order: str | None = None) -> DataFrame:
     """A table's rows, of a key or all, in order."""
     out = df if key is None else df.where(F.col(key) == F.lit(value))

@@ -65,6 +65,33 @@ def ewma_stream(jobs: DataFrame) -> DataFrame:
     )
 
 
+def duration_histogram(attempts: DataFrame, bounds: list[int]) -> DataFrame:
+    """Attempts by type and bucket: bucket k holds durations from the k-th bound on (0: under the first)."""
+    bucket = F.lit(0)
+    for b in bounds:
+        bucket = bucket + (F.col("duration_ms") >= b).cast("int")
+    return attempts.groupBy("type_key", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("attempts"))
+
+
+def run_engine(engine, clock: Callable[[], datetime], sleep: Callable[[float], None], going: Callable[[], bool]) -> None:
+    """Runs an engine's loops, each at its own pace, in one driver: recovery, reconciling, refreshing, compaction and
+    purging when their interval is over, and work whenever the last poll's delay is (at once after a full claim, else
+    twice as late each time nothing is found)."""
+    o = engine.options
+    every = {"recover": o.recover_every, "reconcile": o.reconcile_every, "refresh": o.refresh_every, "compact": o.compact_every, "purge": o.purge_every}
+    last: dict[str, datetime] = {}
+    delay = 0.0
+    while going():
+        now = clock()
+        for name, seconds in every.items():
+            if name not in last or (now - last[name]).total_seconds() >= seconds:
+                last[name] = now
+                getattr(engine, name)(now)
+        done = sum(engine.work(now))
+        delay = poll_delay(delay, done, o.claim_batch)
+        sleep(delay)
+
+
 def event_metrics(claimed: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Counters by type: claimed, succeeded, failed and the mean duration."""
     done = outcomes.groupBy("type_key").agg(F.count_if(~F.col("failed")).alias("succeeded"), F.count_if("failed").alias("failed"), F.avg("duration_ms").alias("mean_ms"))

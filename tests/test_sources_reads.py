@@ -80,3 +80,35 @@ def test_busy_instances_stay(spark):
     tasks = spark.createDataFrame([("1", "Running", "a")], "id string, state string, claimed_by string")
     assert recover.remove_instance(beats, tasks, "a").count() == 1
     assert recover.remove_instance(beats, tasks.limit(0), "a").count() == 0
+
+
+def test_the_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    from fanloom import session
+
+    def at(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder or default), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://host"):
+        with pytest.raises(RuntimeError):
+            session.shared_dir(at(master))
+        assert session.shared_dir(at(master, "hdfs:///tmp/x/")) == "hdfs:///tmp/x"
+
+
+def test_entry_stands_a_leftover_folder_of_the_subpackage(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    ignore = shutil.ignore_patterns("llm", "__pycache__")
+    shutil.copytree(root / "fanloom", tmp_path / "fanloom", ignore=ignore)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    (tmp_path / "fanloom/llm/__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0 and said.stdout.split()[2] == "False", said.stderr

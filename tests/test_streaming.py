@@ -32,3 +32,34 @@ def test_loop_runs_a_tick_for_each_batch(spark, tmp_path):
 def test_poll_delay():
     assert loops.poll_delay(0.1, 128, 128) == 0.0 and loops.poll_delay(0.1, 5, 128) == 0.025
     assert loops.poll_delay(0.1, 0, 128) == 0.2 and loops.poll_delay(1.9, 0, 128) == 2.0
+
+
+def test_loops_run_at_their_own_pace():
+    from datetime import datetime, timedelta
+
+    from fanloom.config import EngineOptions
+    from fanloom.streaming import loops
+
+    class Fake:
+        options = EngineOptions(claim_batch=10)
+
+        def __init__(self):
+            self.calls, self.found = [], [10, 10, 3, 0, 0, 0, 0]
+
+        def __getattr__(self, name):
+            return lambda now: self.calls.append((name, now))
+
+        def work(self, now):
+            self.calls.append(("work", now))
+            return (self.found.pop(0), 0)
+
+    engine, times, slept = Fake(), [datetime(2024, 1, 1)], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        times.append(times[-1] + timedelta(seconds=1))
+
+    loops.run_engine(engine, lambda: times[-1], sleep, lambda: bool(engine.found))
+    assert slept == [0.0, 0.0, 0.025, 0.05, 0.1, 0.2, 0.4]
+    count = lambda name: sum(n == name for n, _ in engine.calls)
+    assert (count("work"), count("recover"), count("refresh"), count("reconcile"), count("compact"), count("purge")) == (7, 1, 4, 4, 2, 1)
