@@ -6,12 +6,15 @@ a complete likelihood, its end included. The output layer is factored: words sor
 size, and a word's probability is that of its class times that within the class.
 
 Training takes every document (with ``share``, every so many-th by hash), whole, by truncated backpropagation over
-windows of ``WINDOW`` words with the state carried from window to window. Each partition trains a copy of the model, the copies are averaged
-by their words (in Spark, block by block), and a further round starts from the average. What is gathered from the corpus
-(counts, and parameters of each partition) grows with it; the model's size is fixed.
+windows of ``WINDOW`` words with the state carried from window to window. Each partition trains a copy of the model, the
+copies are averaged by their words (in Spark, block by block, first those of ``_FAN`` partitions at a time, always in the
+order of partitions), and a further round starts from the average. So the model depends on how the table is cut into
+partitions, and on nothing else. What is gathered from the corpus (counts, and parameters of each partition) grows with
+it; the model's size is fixed.
 
 Scoring puts the documents of a batch end to end on lanes of about equal length, so that one matrix product serves all
-lanes; a lane's state starts anew with each document and is carried over its windows to its end.
+lanes; a lane's state starts anew with each document and is carried over its windows to its end. Only lanes that are
+still running take memory, so that one very long text among short ones costs what it has itself.
 
 Defined cases
     null and empty texts: no words; the likelihood is that of the end of a document. Null doc_id: scored like any other.
@@ -27,7 +30,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanloom.llm import vec
@@ -43,6 +47,7 @@ WINDOW = 24
 RATE = 0.08
 _UNKNOWN, _END = 0, 1
 _BLOCK = 1 << 14
+_FAN = 256
 
 
 def tokens(column: pa.Array):
@@ -122,6 +127,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _log_softmax(a: np.ndarray, chosen: np.ndarray, grad: bool) -> np.ndarray:
+    """Log-probabilities of the chosen columns of logits ``a``; with ``grad``, ``a`` becomes the gradient of their sum."""
+    rows = np.arange(len(a))
+    a -= a.max(1, keepdims=True)
+    ll = a[rows, chosen]
+    np.exp(a, out=a)
+    total = a @ np.ones(a.shape[1], a.dtype)
+    if grad:
+        a *= (-1 / total)[:, None]
+        a[rows, chosen] += 1
+    return ll - np.log(total)
+
+
+def _adagrad(p: np.ndarray, g: np.ndarray, squares: np.ndarray, scale, rate: float) -> None:
+    """Moves ``p`` up the gradient ``g`` (overwritten), scaled and clipped."""
+    g *= scale
+    np.clip(g, -1, 1, out=g)
+    t = g * g
+    squares += t
+    np.add(squares, 1e-6, out=t)
+    np.sqrt(t, out=t)
+    np.divide(g, t, out=t)
+    t *= rate
+    p += t
+
+
 class Gru:
     """The model: ``p`` holds its parameters; classes are equal cuts of the ids in the order of frequency."""
 
@@ -169,84 +200,110 @@ class Gru:
         return m + z * (h - m), r, z, m
 
     def output(self, h: np.ndarray, ids: np.ndarray, grad: bool = False):
-        """Log-probabilities of words after states, and with ``grad`` the gradients of their sum."""
+        """Log-probabilities of words after states, and with ``grad`` the gradients of their sum.
+
+        Rows are taken in the order of classes, so that each class's words need one product, and the rest is done for
+        all rows at once."""
         place = self.place[ids]
+        order = np.argsort(place // self.width, kind="stable")
+        own, place = h[order], place[order]
         cls, word = place // self.width, place % self.width
-        rows = np.arange(len(ids))
-        a = h @ self.p["C"] + self.p["c"]
-        a -= a.max(1, keepdims=True)
-        ea = np.exp(a)
-        sa = ea.sum(1)
-        ll = a[rows, cls] - np.log(sa)
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        if grad:
-            da = -ea / sa[:, None]
-            da[rows, cls] += 1
-            g = {"C": h.T @ da, "c": da.sum(0), "O": np.zeros_like(self.p["O"]), "o": np.zeros_like(self.p["o"])}
-            dh = da @ self.p["C"].T
-        for k in np.flatnonzero(np.diff(cut)):
-            own = order[cut[k] : cut[k + 1]]
-            q = h[own] @ self.p["O"][k] + self.p["o"][k]
-            q -= q.max(1, keepdims=True)
-            eq = np.exp(q)
-            sq = eq.sum(1)
-            at = np.arange(len(own))
-            ll[own] += q[at, word[own]] - np.log(sq)
-            if grad:
-                dq = -eq / sq[:, None]
-                dq[at, word[own]] += 1
-                g["O"][k] = h[own].T @ dq
-                g["o"][k] = dq.sum(0)
-                dh[own] += dq @ self.p["O"][k].T
-        return (ll, dh, g) if grad else ll
+        cut = np.searchsorted(cls, np.arange(self.classes + 1))
+        some = np.flatnonzero(np.diff(cut)).tolist()
+        cut = cut.tolist()
+        a = own @ self.p["C"]
+        a += self.p["c"]
+        ll = _log_softmax(a, cls, grad)
+        q = np.empty((len(ids), self.width), a.dtype)
+        for k in some:
+            np.matmul(own[cut[k] : cut[k + 1]], self.p["O"][k], out=q[cut[k] : cut[k + 1]])
+        q += self.p["o"][cls]
+        ll += _log_softmax(q, word, grad)
+        back = np.empty_like(ll)
+        back[order] = ll
+        if not grad:
+            return back
+        ones = np.ones(len(ids), a.dtype)
+        words = np.zeros((self.classes, self.hidden + 1, self.width), a.dtype)
+        g = {"C": own.T @ a, "c": ones @ a, "O": words[:, :-1], "o": words[:, -1]}
+        dh = a @ self.p["C"].T
+        more, left = np.empty_like(dh), np.concatenate([own, ones[:, None]], 1)
+        for k in some:
+            part = slice(cut[k], cut[k + 1])
+            np.matmul(left[part].T, q[part], out=words[k])
+            np.matmul(q[part], self.p["O"][k].T, out=more[part])
+        dh += more
+        out = np.empty_like(dh)
+        out[order] = dh
+        return back, out, g
 
     def window(self, ids_in, ids_out, fresh, live, h, squares, rate):
         """One window of truncated backpropagation with Adagrad: (log-likelihood, state after it)."""
-        d, (steps, lanes) = self.hidden, ids_in.shape
-        x = self.p["E"][ids_in] @ self.p["W"] + self.p["b"]
-        keep = []
-        states = np.empty((steps, lanes, d), np.float32)
+        d, (steps, lanes), p = self.hidden, ids_in.shape, self.p
+        kind = p["U"].dtype
+        flat_in = ids_in.reshape(-1)
+        used, back = np.unique(flat_in, return_inverse=True)
+        embedded = p["E"][used]
+        table = embedded @ p["W"] + p["b"]
+        table[:, : 2 * d] *= 0.5  # a sigmoid is half a hyperbolic tangent of the half, and a half
+        x = table[back].reshape(steps, lanes, 3 * d)
+        gates, fresh = np.ascontiguousarray(p["U"][:, : 2 * d]), fresh.astype(kind)[:, :, None]
+        half, new = gates * kind.type(0.5), np.ascontiguousarray(p["U"][:, 2 * d :])
+        before, m, states = (np.empty((steps, lanes, d), kind) for _ in range(3))
+        rz, rh, own = np.empty((steps, lanes, 2 * d), kind), np.empty((steps, lanes, d), kind), np.empty((lanes, d), kind)
         for t in range(steps):
-            before = h * fresh[t][:, None]
-            h, r, z, m = self.step(x[t], before)
-            keep.append((before, r, z, m))
-            states[t] = h
+            b, g = before[t], rz[t]
+            np.multiply(h, fresh[t], out=b)
+            np.matmul(b, half, out=g)
+            g += x[t, :, : 2 * d]
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            np.multiply(g[:, :d], b, out=rh[t])
+            np.matmul(rh[t], new, out=own)
+            own += x[t, :, 2 * d :]
+            h, now = states[t], m[t]
+            np.tanh(own, out=now)
+            np.subtract(b, now, out=h)
+            h *= g[:, d:]
+            h += now
         some = np.flatnonzero(live.reshape(-1))
         ll, dh_some, g = self.output(states.reshape(-1, d)[some], ids_out.reshape(-1)[some], True)
-        dh_all = np.zeros((steps * lanes, d), np.float32)
+        dh_all = np.zeros((steps * lanes, d), kind)
         dh_all[some] = dh_some
         dh_all = dh_all.reshape(steps, lanes, d)
-        dx = np.empty_like(x)
-        g["U"] = np.zeros_like(self.p["U"])
-        carry = np.zeros((lanes, d), np.float32)
-        u = self.p["U"]
+        r, z = rz[:, :, :d], rz[:, :, d:]
+        to_m = (1 - z) * (1 - m * m)
+        to_z = (before - m) * z * (1 - z)
+        to_r = rh * (1 - r)
+        dx = np.empty((steps, lanes, 3 * d), kind)
+        carry, drh, gates_t, new_t = np.zeros((lanes, d), kind), np.empty((lanes, d), kind), np.ascontiguousarray(gates.T), np.ascontiguousarray(new.T)
         for t in range(steps - 1, -1, -1):
-            before, r, z, m = keep[t]
-            dh = dh_all[t] + carry
-            dm = dh * (1 - z) * (1 - m * m)
-            dz = dh * (before - m) * z * (1 - z)
-            drh = dm @ u[:, 2 * d :].T
-            dr = drh * before * r * (1 - r)
-            drz = np.concatenate([dr, dz], 1)
-            g["U"][:, : 2 * d] += before.T @ drz
-            g["U"][:, 2 * d :] += (r * before).T @ dm
-            dx[t] = np.concatenate([drz, dm], 1)
-            carry = (dh * z + drh * r + drz @ u[:, : 2 * d].T) * fresh[t][:, None]
-        flat_x, flat_in = dx.reshape(-1, 3 * d), ids_in.reshape(-1)
-        g["b"] = flat_x.sum(0)
-        g["W"] = self.p["E"][flat_in].T @ flat_x
-        used, back = np.unique(flat_in, return_inverse=True)
-        de = np.zeros((len(used), self.p["E"].shape[1]), np.float32)
-        np.add.at(de, back, flat_x @ self.p["W"].T)
+            dh, own = dh_all[t], dx[t]
+            dh += carry
+            np.multiply(dh, to_m[t], out=own[:, 2 * d :])
+            np.multiply(dh, to_z[t], out=own[:, d : 2 * d])
+            np.matmul(own[:, 2 * d :], new_t, out=drh)
+            np.multiply(drh, to_r[t], out=own[:, :d])
+            np.matmul(own[:, : 2 * d], gates_t, out=carry)
+            dh *= z[t]
+            carry += dh
+            drh *= r[t]
+            carry += drh
+            carry *= fresh[t]
+        flat_x = dx.reshape(-1, 3 * d)
+        g["U"] = np.concatenate([before.reshape(-1, d).T @ flat_x[:, : 2 * d], rh.reshape(-1, d).T @ flat_x[:, 2 * d :]], 1)
+        order = np.argsort(back, kind="stable")
+        by_word = np.add.reduceat(flat_x[order], np.searchsorted(back[order], np.arange(len(used))), axis=0)
+        g["b"] = by_word.sum(0)
+        g["W"] = embedded.T @ by_word
+        to_e = by_word @ p["W"].T
         scale = np.float32(1 / max(len(some), 1))
         for k, v in g.items():
-            v = np.clip(v * scale, -1, 1)
-            squares[k] += v * v
-            self.p[k] += rate * v / np.sqrt(squares[k] + 1e-6)
-        de = np.clip(de * scale, -1, 1)
-        squares["E"][used] += de * de
-        self.p["E"][used] += rate * de / np.sqrt(squares["E"][used] + 1e-6)
+            _adagrad(p[k], v, squares[k], scale, rate)
+        rows, more = p["E"][used], squares["E"][used]
+        _adagrad(rows, to_e, more, scale, rate)
+        p["E"][used], squares["E"][used] = rows, more
         return float(ll.sum()), h
 
 
@@ -264,29 +321,54 @@ def lanes_of(sizes: np.ndarray, count: int) -> list[list[int]]:
     return [lanes[k] for k in sorted(range(count), key=lambda k: -total[k])]
 
 
-def laid_out(ids: np.ndarray, begin: np.ndarray, count: int):
-    """(inputs, outputs, starts, document of each place, active lanes of each step) of documents put on lanes.
+@dataclass
+class Lanes:
+    """Documents put on lanes, packed: of each step only the lanes that are still running (the first ones) are there.
 
     A document of n words has n + 1 steps: its end predicts the first word, its last word the end."""
+
+    active: np.ndarray  # lanes of each step
+    base: np.ndarray  # where each step begins ... and the end
+    ins: np.ndarray
+    outs: np.ndarray
+    start: np.ndarray
+    doc: np.ndarray
+
+    def window(self, t: int, end: int):
+        """(inputs, outputs, starts, documents) of some steps, as matrices; places without a document have -1."""
+        width = int(self.active[t])
+        live = np.arange(width) < self.active[t:end, None]
+        out = []
+        for values, empty in ((self.ins, _END), (self.outs, _END), (self.start, False), (self.doc, -1)):
+            full = np.full(live.shape, empty, values.dtype)
+            full[live] = values[self.base[t] : self.base[end]]
+            out.append(full)
+        return out
+
+
+def laid_out(ids: np.ndarray, begin: np.ndarray, count: int) -> Lanes:
     sizes = np.diff(begin) + 1
     lanes = lanes_of(sizes, count)
-    length = np.array([int(sizes[lane].sum()) for lane in lanes])
+    length = np.array([int(sizes[lane].sum()) for lane in lanes], np.int64)
     steps = int(length.max(initial=0))
-    ins = np.full((steps, len(lanes)), _END, np.int32)
-    outs = np.full((steps, len(lanes)), _END, np.int32)
-    start = np.zeros((steps, len(lanes)), bool)
-    doc = np.full((steps, len(lanes)), -1, np.int32)
-    for k, lane in enumerate(lanes):
-        at = 0
-        for i in lane:
-            own, n = ids[begin[i] : begin[i + 1]], sizes[i]
-            start[at, k] = True
-            ins[at + 1 : at + n, k] = own
-            outs[at : at + n - 1, k] = own
-            doc[at : at + n, k] = i
-            at += n
     active = np.searchsorted(-length, -np.arange(steps), "left")
-    return ins, outs, start, doc, active
+    base = np.concatenate([[0], np.cumsum(active)])
+    total = int(base[-1])
+    ins, outs = np.full(total, _END, np.int32), np.full(total, _END, np.int32)
+    start, doc = np.zeros(total, bool), np.empty(total, np.int32)
+    for k, lane in enumerate(lanes):
+        at = base[: length[k]] + k
+        own = np.array(lane, np.int64)
+        first = np.cumsum(sizes[own]) - sizes[own]
+        which = np.repeat(np.arange(len(own)), sizes[own])
+        step = np.arange(length[k]) - first[which]
+        start[at[first]] = True
+        doc[at] = own[which]
+        word = ids[np.minimum(begin[own[which]] + step, max(len(ids) - 1, 0))] if len(ids) else np.full(length[k], _END, np.int32)
+        last = step == sizes[own[which]] - 1
+        outs[at] = np.where(last, _END, word)
+        ins[at[1:]] = np.where(last, _END, word)[:-1]
+    return Lanes(active, base, ins, outs, start, doc)
 
 
 def _words(column: pa.Array, lex: Lexicon):
@@ -309,40 +391,55 @@ def _words(column: pa.Array, lex: Lexicon):
 
 
 def train_on(model: Gru, ids: np.ndarray, begin: np.ndarray, squares: dict, rate: float = RATE, window: int = WINDOW, lanes: int = 64) -> float:
-    ins, outs, start, doc, _ = laid_out(ids, begin, lanes)
-    h = np.zeros((ins.shape[1], model.hidden), np.float32)
+    rows = laid_out(ids, begin, lanes)
+    h = np.zeros((int(rows.active.max(initial=0)), model.hidden), np.float32)
     total = 0.0
-    for t in range(0, len(ins), window):
-        part = slice(t, t + window)
-        ll, h = model.window(ins[part], outs[part], (~start[part]).astype(np.float32), doc[part] >= 0, h, squares, rate)
+    for t in range(0, len(rows.active), window):
+        ins, outs, start, doc = rows.window(t, min(t + window, len(rows.active)))
+        ll, h = model.window(ins, outs, ~start, doc >= 0, h[: ins.shape[1]], squares, rate)
         total += ll
     return total
 
 
 def score(model: Gru, ids: np.ndarray, begin: np.ndarray, lanes: int = 256, window: int = 64) -> np.ndarray:
     """Log-likelihoods of documents of word ids, their ends included."""
-    ins, outs, start, doc, active = laid_out(ids, begin, lanes)
+    rows = laid_out(ids, begin, lanes)
     table = model.p["E"] @ model.p["W"] + model.p["b"]
     d = model.hidden
     out = np.zeros(len(begin) - 1)
-    h = np.zeros((ins.shape[1], d), np.float32)
-    for t in range(0, len(ins), window):
-        end = min(t + window, len(ins))
-        most = int(active[t])
-        states = np.zeros((end - t, most, d), np.float32)
+    h = np.zeros((int(rows.active.max(initial=0)), d), np.float32)
+    for t in range(0, len(rows.active), window):
+        end = min(t + window, len(rows.active))
+        part = slice(rows.base[t], rows.base[end])
+        states = np.empty((part.stop - part.start, d), np.float32)
         for k in range(t, end):
-            n = int(active[k])
+            at = slice(rows.base[k], rows.base[k + 1])
+            n = int(rows.active[k])
             now = h[:n]
-            now[start[k, :n]] = 0
-            h[:n], *_ = model.step(table[ins[k, :n]], now)
-            states[k - t, :n] = h[:n]
-        own = doc[t:end, :most].reshape(-1)
-        some = np.flatnonzero(own >= 0)
-        ll = model.output(states.reshape(-1, d)[some], outs[t:end, :most].reshape(-1)[some])
-        out += np.bincount(own[some], ll, len(out))
+            now[rows.start[at]] = 0
+            h[:n], *_ = model.step(table[rows.ins[at]], now)
+            states[at.start - part.start : at.stop - part.start] = h[:n]
+        out += np.bincount(rows.doc[part], model.output(states, rows.outs[part]), len(out))
     return out
 
 
+AVERAGED = "block int, place int, words double, part binary"
+
+
+def averaged(parts: DataFrame, *group: Column) -> DataFrame:
+    """The means of the ``parts`` of each block (and group), weighted by ``words`` and summed in the order of ``place``."""
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        words = pdf["words"].sum()
+        total = 0.0
+        for n, part in zip(pdf["words"], pdf["part"]):
+            total = total + n * np.frombuffer(part)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "place": pdf["place"].iloc[:1], "words": [words], "part": [(total / words).tobytes()]})
+
+    return parts.groupBy("block", *group).applyInPandas(mean, AVERAGED)
+
+
 def train(texts: DataFrame, lex: Lexicon, share: int = SHARE, rounds: int = ROUNDS) -> Gru:
     """``texts``: (h, text). Every share-th document trains, in each partition a copy of the model."""
     spark = texts.sparkSession
@@ -366,17 +463,17 @@ def train(texts: DataFrame, lex: Lexicon, share: int = SHARE, rounds: int = ROUN
                     words += len(ids) + len(begin) - 1
             if words:
                 flat = own.flat()
-                blocks = [flat[i : i + _BLOCK].tobytes() for i in range(0, len(flat), _BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([float(words)] * len(blocks)), pa.array(blocks, pa.binary())], names=["block", "words", "part"])
-
-        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            w = pdf["words"].to_numpy()
-            total = sum(x * np.frombuffer(v, np.float32).astype(np.float64) for x, v in zip(w, pdf["part"]))
-            return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [(total / w.sum()).astype(np.float32).tobytes()]})
-
-        found = chosen.mapInArrow(run, "block int, words double, part binary").groupBy("block").applyInPandas(mean, "block int, part binary").collect()
+                blocks = [flat[i : i + _BLOCK].astype(np.float64).tobytes() for i in range(0, len(flat), _BLOCK)]
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array([float(words)] * n), pa.array(blocks, pa.binary())],
+                    names=["block", "place", "words", "part"],
+                )
+
+        trained = chosen.mapInArrow(run, AVERAGED)
+        found = averaged(averaged(trained, F.floor(F.col("place") / _FAN))).select("block", "part").collect()
         if found:
-            model.load(np.concatenate([np.frombuffer(r[1], np.float32) for r in sorted(found)]))
+            model.load(np.concatenate([np.frombuffer(r[1]) for r in sorted(found)]))
     return model
 
 

@@ -1,4 +1,4 @@
-"""Exact Jaccard self-join of documents over word n-grams, by a prefix tree.
+"""Jaccard self-join of documents over word n-grams, by a prefix tree: exact on sets of 48-bit hashes of n-grams.
 
 The n-grams of all documents have one global order: by how often they occur (frequent ones last), then by hash. Counts
 are those of local heavy hitters only: each block of about 4 million n-grams of a partition gives the ones it has at
@@ -44,7 +44,9 @@ THRESHOLD = 0.5
 EXTRA = 16  # the most further shared n-grams that a pair of candidates is asked for
 BANDS, ROWS = 8, 4
 PART = 800
-HEAVY = 1 << 17  # ranks for that many of the most frequent n-grams; others share the first rank
+HEAVY = 1 << 17  # ranks for that many of the most frequent n-grams at least, and for one of a thousand ...
+HEAVIEST = 1 << 22  # ... up to that many (64 MB to broadcast); others share the first rank
+BUCKET = 1 << 22  # n-grams that a bucket of beginnings has about, of eight bytes each, whatever the corpus
 _LOCAL = 5
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
@@ -147,8 +149,8 @@ def star_links(sets: DataFrame) -> DataFrame:
     return each.repartition("h").sortWithinPartitions("h", "kid").mapInArrow(run, "a long, b long").distinct()
 
 
-def heavy_grams(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams and their document counts (of blocks of documents in which they occur repeatedly)."""
+def heavy_grams(rows: DataFrame, n: int, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` most frequent n-grams and their document counts (of blocks of documents in which they occur repeatedly)."""
 
     @vec.tidy
     def run(batches):
@@ -170,7 +172,7 @@ def heavy_grams(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             yield flush()
 
     counts = rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "gram").limit(HEAVY).toPandas()
+    top = counts.orderBy(F.desc("n"), "gram").limit(most).toPandas()
     top = top.sort_values("gram")
     return top["gram"].to_numpy().view(np.uint64), top["n"].to_numpy()
 
@@ -216,14 +218,13 @@ def postings(rows: DataFrame, n: int, t: float, buckets: int, heavy) -> DataFram
                 post = np.empty(len(gram), _POST)
                 post["gram"] = np.ascontiguousarray(gram).view(np.uint8).reshape(-1, 8)[:, :6]
                 post["at"] = np.minimum(place, 65535)
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
+                there, cut = np.unique(bucket, return_index=True)
                 out = []
-                for k in np.flatnonzero(np.diff(cut)):
-                    own = row[cut[k] : cut[k + 1]]
-                    docs, count = np.unique(own, return_counts=True)
+                for k, i, j in zip(there.tolist(), cut, np.append(cut[1:], len(bucket))):
+                    docs, count = np.unique(row[i:j], return_counts=True)
                     head = np.empty(len(docs), _HEAD)
                     head["kid"], head["label"], head["size"], head["n"] = kid[a + docs], label[a + docs], size[docs], count
-                    out.append((int(k), head.tobytes(), post[cut[k] : cut[k + 1]].tobytes()))
+                    out.append((k, head.tobytes(), post[i:j].tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["bucket", "heads", "posts"])
 
@@ -444,7 +445,8 @@ def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = E
     rows = keyed(docs, id_col, text_col)
     sets = materialise(sketches(rows, n, BANDS * ROWS, ROWS), "sets")
     reps = materialise(stand_ins(sets), "reps")
-    heavy = heavy_grams(rows, n)
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    heavy = heavy_grams(rows, n, min(HEAVIEST, max(HEAVY, total // 1000)))
     once = sets.join(reps.where("kid = rep").select("kid"), "kid", "left_semi").dropDuplicates(["kid"])
     stars = materialise(star_links(once), "stars")
     labels = components(stars)
@@ -453,7 +455,7 @@ def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = E
     side = side.withColumn("out", F.col("label").isNull())
     joined = sized_join(rows.select("kid", "text"), side, ["kid"], "left")
     own = joined.where(~F.coalesce("out", F.lit(False))).select("kid", F.coalesce("label", "kid").alias("label"), "text")
-    buckets = max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    buckets = max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, int(total * (1 - t)) // BUCKET)
     links = counted_links(postings(own, n, t, buckets, heavy), t, extra)
     blocks = components(links.unionByName(stars))
     pairs = verified(rows, blocks, n, t, heavy)
