@@ -1,7 +1,7 @@
 """HTML extraction by wrapper induction.
 
 1. Every page is parsed to a tree of its block elements with a leaf for each run of text (inline elements belong to
-   the text around them; scripts, styles and comments are left out). Neighbouring siblings of equal structure become
+   the text around them; scripts, styles and comments are left out, all other text is kept). Neighbouring siblings of equal structure become
    one repeated node. The tree without texts is the page's shape.
 2. The shapes of a host are aligned by simple tree matching, the most frequent first: each is matched with the host's
    template tree, and nodes without a partner are inserted next to the siblings that have one.
@@ -13,8 +13,8 @@ Defined cases
     null or empty html: empty content, no texts. Null, empty or odd address: the host is the empty string. Null page id:
     a page like any other. Repeated rows: each is a page, is counted and returned. A host with one page: no template,
     all text is content. Broken markup: unclosed elements end with their parent or by the usual rules for paragraphs,
-    items and cells; stray ends are ignored; elements over 200 levels deep hold no
-    others. Very long pages: whole. Empty table: no rows. Further columns: ignored.
+    items and cells; stray ends are ignored; a tag without its end is text. Elements may lie as deep as they like. Very
+    long pages: whole, in time that grows with their length. Empty table: no rows. Further columns: ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from fanloom.llm.keys import sized_join
 from fanloom.session import materialise
 
 CONSTANT = 0.5
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-_RAW = frozenset("script style template noscript svg iframe textarea select".split())
+_RAW = frozenset("script style".split())
 _CLOSES = {
     "p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "body": frozenset(["head"]),
@@ -43,21 +43,21 @@ _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer for
 _SCOPE = frozenset("table ul ol dl td th body html div article section nav footer header".split())
 
 
-_DEEPEST = 200
-
-
 class Node:
     __slots__ = ("tag", "kids", "shape", "number")
 
     def __init__(self, tag: str):
-        self.tag, self.kids, self.shape, self.number = tag, [], "", -1
+        self.tag, self.kids, self.shape, self.number = tag, [], -1, -1
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]], str]:
     """(root, [(leaf, text)] in order, title)."""
     root = Node("#root")
     path, texts, run, title = [root], [], [], []
+    opened: dict[str, list[int]] = {}  # where the open elements of a tag stand in the path
+    scopes = [0]
     at, n = 0, len(page)
+    last = page.rfind(">")
 
     def flush():
         text = " ".join(entities.unescape("".join(run)).split())
@@ -71,8 +71,15 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]], str]:
             path[-1].kids.append(leaf)
             texts.append((leaf, text))
 
+    def close_from(k: int):
+        for node in path[k:]:
+            opened[node.tag].pop()
+        del path[k:]
+        while scopes[-1] >= k:
+            scopes.pop()
+
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         if not m:
             run.append(page[at:])
             break
@@ -87,10 +94,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]], str]:
             if tag in _INLINE:
                 continue
             flush()
-            for k in range(len(path) - 1, 0, -1):
-                if path[k].tag == tag:
-                    del path[k:]
-                    break
+            if opened.get(tag):
+                close_from(opened[tag][-1])
             continue
         if tag in _INLINE:
             continue
@@ -104,16 +109,15 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]], str]:
         close = _CLOSES.get(tag, frozenset())
         if tag in _ENDS_P:
             close = close | {"p"}
-        if close:
-            for k in range(len(path) - 1, 0, -1):
-                if path[k].tag in close:
-                    del path[k:]
-                    break
-                if path[k].tag in _SCOPE:
-                    break
+        k = max((opened[c][-1] for c in close if opened.get(c)), default=0)
+        if k and k >= scopes[-1]:
+            close_from(k)
         node = Node(tag)
         path[-1].kids.append(node)
-        if len(path) < _DEEPEST and not m.group(3).endswith("/"):
+        if not m.group(3).endswith("/"):
+            opened.setdefault(tag, []).append(len(path))
+            if tag in _SCOPE:
+                scopes.append(len(path))
             path.append(node)
     flush()
     return root, texts, " ".join(title)
@@ -126,21 +130,16 @@ def shape_of(root: Node) -> str:
         node = stack.pop()
         order.append(node)
         stack += node.kids
+    known: dict[tuple, int] = {}
+    size: list[int] = []  # nodes of the collapsed trees
     for node in reversed(order):
-        kids, last = [], None
+        kids: list[int] = []
         for k in node.kids:
-            if k.shape != last:
+            if not kids or k.shape != kids[-1]:
                 kids.append(k.shape)
-            last = k.shape
-        node.shape = f"{node.tag}({' '.join(kids)})" if kids else node.tag
-    size = {}
-    for node in reversed(order):  # nodes of the collapsed tree below and with this one
-        if node.shape not in size:
-            total, last = 1, None
-            for k in node.kids:
-                total += size[k.shape] if k.shape != last else 0
-                last = k.shape
-            size[node.shape] = total
+        node.shape = known.setdefault((node.tag, *kids), len(known))
+        if node.shape == len(size):
+            size.append(1 + sum(size[k] for k in kids))
     root.number = 0
     stack = [root]
     while stack:
@@ -154,7 +153,22 @@ def shape_of(root: Node) -> str:
                 k.number = last.number
             last = k
         stack += node.kids
-    return root.shape
+    made = list(known)
+    out: list[str] = []
+    work: list = [root.shape]
+    while work:
+        k = work.pop()
+        if isinstance(k, str):
+            out.append(k)
+            continue
+        tag, *below = made[k]
+        out.append(tag)
+        if below:
+            out.append("(")
+            work.append(")")
+            for j, kid in enumerate(reversed(below)):
+                work += [" ", kid] if j else [kid]
+    return "".join(out)
 
 
 class Tree:
@@ -190,19 +204,19 @@ def match(a: Tree, b: Tree, score: dict | None = None) -> int:
         score = {}
     if a.tag != b.tag:
         return 0
-    key = (a.number, b.number)
-    if key in score:
-        return score[key]
-    rows = len(b.kids) + 1
-    before = [0] * rows
-    for x in a.kids:
-        now = [0] * rows
-        for j, y in enumerate(b.kids, 1):
-            w = match(x, y, score) if x.tag == y.tag else 0
-            now[j] = max(now[j - 1], before[j], before[j - 1] + w)
-        before = now
-    score[key] = before[-1] + 1
-    return score[key]
+    pairs = [(a, b)]  # parents before their children
+    for x, y in pairs:
+        pairs += [(v, w) for v in x.kids for w in y.kids if v.tag == w.tag]
+    for x, y in reversed(pairs):
+        before = [0] * (len(y.kids) + 1)
+        for v in x.kids:
+            now = [0] * len(before)
+            for j, w in enumerate(y.kids, 1):
+                both = score[v.number, w.number] if v.tag == w.tag else 0
+                now[j] = max(now[j - 1], before[j], before[j - 1] + both)
+            before = now
+        score[x.number, y.number] = before[-1] + 1
+    return score[a.number, b.number]
 
 
 def align(template: Tree, page: Tree, free: int) -> tuple[dict[int, int], int]:
@@ -214,11 +228,16 @@ def align(template: Tree, page: Tree, free: int) -> tuple[dict[int, int], int]:
 
     def copy(node: Tree) -> Tree:
         nonlocal free
-        new = Tree(node.tag, free)
-        to[node.number] = free
-        free += 1
-        new.kids = [copy(k) for k in node.kids]
-        return new
+        top = Tree("", -1)
+        todo = [(node, top)]
+        while todo:
+            own, above = todo.pop()
+            new = Tree(own.tag, free)
+            to[own.number] = free
+            free += 1
+            above.kids.append(new)
+            todo += [(k, new) for k in reversed(own.kids)]
+        return top.kids[0]
 
     while work:
         t, p = work.pop()
@@ -289,7 +308,7 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 def wrappers(pages: DataFrame, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
     """The parsed pages, and (host, shape_id, at, fixed): template nodes of the shape's nodes, and the hashes of the
     constant texts with their nodes."""
-    rows = parsed(pages)
+    rows = materialise(parsed(pages), "parsed")
     counts = rows.groupBy("host", "shape_id").agg(F.first("shape").alias("shape"), F.count(F.lit(1)).alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
