@@ -2,7 +2,8 @@
 
 Headers alone are shuffled by payload digest. The first response (by date, then record id) that holds a payload is its
 original. Revisit records are joined to the original of their digest, later responses with the same payload become
-revisit records of it, and a revisit record whose payload isn't there stays, marked ``unresolved``. Every record is
+revisit records of it, and a revisit record whose payload isn't there stays, marked ``unresolved``. Records of other types (warcinfo, request,
+metadata, resource, conversion, continuation) are kept as they are, their whole block being the payload. Every record is
 written with fresh headers: a record id of its own content, lengths and digests of what is written, and for revisits
 the id, address and date of the original.
 
@@ -12,7 +13,9 @@ returns), so that files of lost or repeated tasks are never seen. Digests are he
 Defined cases
     null html: an empty payload. Null url: no address header. Null page id: a page like any other. Repeated rows (same
     id, address and payload): one capture. Ties of date: the lower record id is the original. Very long payloads:
-    whole. Empty table: no records. Line breaks in an address are escaped. Further columns: ignored.
+    whole. Payloads that aren't UTF-8 keep their bytes: in Spark they are strings of those bytes. Empty table: no
+    records. Line breaks in an address are escaped. Further columns: ignored, but for ``content_type``, which records
+    of other types keep. A broken record in an archive raises.
 """
 
 from __future__ import annotations
@@ -67,14 +70,16 @@ def resolve(records: DataFrame) -> DataFrame:
     content_length): what becomes of each record, once. Payloads aren't shuffled here, only their lengths."""
     heads = records.select("record_id", "warc_type", "warc_date", "payload_digest", "target_uri", F.octet_length("payload").alias("size")).dropDuplicates(["record_id"])
     first = heads.where("warc_type = 'response'").groupBy("payload_digest").agg(F.min(F.struct("warc_date", "record_id", "target_uri")).alias("o"))
-    fate = F.when(F.col("o").isNull(), "unresolved").when(F.col("record_id") == F.col("o.record_id"), "original").when(F.col("warc_type") == "revisit", "revisit").otherwise("deduplicated")
+    other = ~F.col("warc_type").isin("response", "revisit")
+    fate = F.when(other, "kept").when(F.col("o").isNull(), "unresolved").when(F.col("record_id") == F.col("o.record_id"), "original").when(F.col("warc_type") == "revisit", "revisit").otherwise("deduplicated")
     known = heads.join(first, "payload_digest", "left").withColumn("status", fate)
     original = F.col("status") == "original"
-    refers = ~F.col("status").isin("original", "unresolved")
+    kept = F.col("status") == "kept"
+    refers = ~F.col("status").isin("original", "unresolved", "kept")
     head = len(_HTTP) + F.length(F.col("size").cast("string")) + 4
     return known.select(
         "record_id",
-        F.when(original, "response").otherwise("revisit").alias("warc_type"),
+        F.when(kept, F.col("warc_type")).when(original, "response").otherwise("revisit").alias("warc_type"),
         "target_uri",
         "warc_date",
         "payload_digest",
@@ -82,15 +87,16 @@ def resolve(records: DataFrame) -> DataFrame:
         F.when(refers, F.col("o.target_uri")).alias("refers_to_uri"),
         F.when(refers, F.col("o.warc_date")).alias("refers_to_date"),
         "status",
-        F.when(original, head + F.col("size")).otherwise(len(_BARE)).cast("long").alias("content_length"),
+        F.when(kept, F.coalesce("size", F.lit(0))).when(original, head + F.col("size")).otherwise(len(_BARE)).cast("long").alias("content_length"),
     )
 
 
 def with_records(records: DataFrame, resolved: DataFrame) -> DataFrame:
     """``resolved`` with ``record``, the text of each record as it is written."""
-    payload = records.select("record_id", "payload").dropDuplicates(["record_id"])
+    kind = F.col("content_type") if "content_type" in records.columns else F.lit(None).cast("string")
+    payload = records.select("record_id", "payload", kind.alias("content_type")).dropDuplicates(["record_id"])
     whole = payload.join(resolved.hint("merge"), "record_id")
-    block = F.when(F.col("status") == "original", F.concat(F.lit(_HTTP), F.octet_length("payload").cast("string"), F.lit(CRLF * 2), F.col("payload"))).otherwise(F.lit(_BARE))
+    block = F.when(F.col("status") == "original", F.concat(F.lit(_HTTP), F.octet_length("payload").cast("string"), F.lit(CRLF * 2), F.col("payload"))).when(F.col("status") == "kept", F.coalesce("payload", F.lit(""))).otherwise(F.lit(_BARE))
     whole = whole.withColumn("block", block)
 
     def line(name: str, value: Column) -> Column:
@@ -108,10 +114,10 @@ def with_records(records: DataFrame, resolved: DataFrame) -> DataFrame:
         line("WARC-Refers-To", F.concat(F.lit("<"), "refers_to", F.lit(">"))),
         line("WARC-Refers-To-Target-URI", F.col("refers_to_uri")),
         line("WARC-Refers-To-Date", F.col("refers_to_date")),
-        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Type", F.when(F.col("status") == "kept", F.col("content_type")).otherwise("application/http; msgtype=response")),
         line("Content-Length", F.octet_length("block").cast("string")),
     )
-    return whole.withColumn("record", F.concat(header, F.lit(CRLF), "block")).drop("block", "payload")
+    return whole.withColumn("record", F.concat(header, F.lit(CRLF), "block")).drop("block", "payload", "content_type")
 
 
 def write_archives(resolved: DataFrame, path: str, files: int | None = None) -> None:
@@ -143,21 +149,33 @@ def parse(data: bytes):
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records (as ``captures`` gives them) of the plain or gzipped WARC files in ``path``; a task holds one file."""
+    """Records (as ``captures`` gives them, with ``content_type``) of the plain or gzipped WARC files in ``path``.
+
+    A task holds an Arrow batch of files (Spark ends a batch at 64 MB, so large files come alone; a file may have 2 GB
+    at most) and one unpacked file, whose records it hands on in groups of about 16 MB."""
+    names = ["record_id", "warc_type", "target_uri", "warc_date", "payload_digest", "payload", "content_type"]
+    types = [pa.string()] * 5 + [pa.binary(), pa.string()]
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=names)
 
     def run(batches):
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows = []
+            for data in batch.column(0):
+                data = data.as_py()
+                rows, held = [], 0
                 for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    if head["warc-type"] not in ("response", "revisit"):
-                        continue
-                    payload = block.split(b"\r\n\r\n", 1)[-1].decode(errors="replace") if head["warc-type"] == "response" else None
-                    rows.append((head["warc-record-id"].strip("<>"), head["warc-type"], head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-payload-digest"), payload))
-                names = [x.split()[0] for x in SCHEMA.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 6, names=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+                    kind = head["warc-type"]
+                    payload = None if kind == "revisit" else block.split(b"\r\n\r\n", 1)[-1] if kind == "response" else block
+                    rows.append((head["warc-record-id"].strip("<>"), kind, head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-payload-digest"), payload, head.get("content-type")))
+                    held += len(block)
+                    if held > 1 << 24:
+                        yield made(rows)
+                        rows, held = [], 0
+                yield made(rows)
+
+    schema = SCHEMA.replace("payload string", "payload binary") + ", content_type string"
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema).withColumn("payload", F.col("payload").cast("string"))
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
