@@ -2,15 +2,17 @@
 
 The state is a set of runs: tables of line hashes in the shared folder, each sorted and written once. A batch of
 documents is merge-anti-joined with every run, its new lines become a run of level 0, and when a level holds
-``fanout`` runs they are merged into one run of the next level. Work per batch grows with the batch and the number
-of runs stays logarithmic, so a corpus can arrive in any number of batches.
+``fanout`` runs they are merged into one run of the next level. The number of runs stays logarithmic, so a corpus can
+arrive in any number of batches. Each batch shuffles the hashes of every run (12 bytes a line) once to merge them with
+its own, so that the work of a batch grows with what the runs hold already, not with the batch alone.
 
 What counts as a repeat
     A line is the text between line feeds, compared without surrounding blanks, by 96 bits of hash. The first line
     in the order of (doc_id, text hash, line number) stays; later ones go. Blank lines always stay.
 Defined cases
     null text: stays null. Empty text: stays. Null doc_id: ordered after all others. Rows that repeat another row's
-    doc_id and text: the copies lose all their non-blank lines. Empty table: empty result. Further columns are kept
+    doc_id and text: the copies lose all their non-blank lines; which of them is the copy goes by the hash of all
+    columns (but for maps), the least one stays whole. Empty table: empty result. Further columns are kept
     as they are, whatever their names.
 """
 
@@ -122,8 +124,9 @@ def dedup_lines(
     a, b, nos, rank, parts, n_lines, n_dropped = fresh(docs.columns, "k1", "k2", "kept", "copy", "parts", "n_lines", "n_dropped")
     kept = kept.groupBy(F.col("k1").alias(a), F.col("k2").alias(b)).agg(F.collect_list("line_no").alias(nos))
     k1, k2 = _doc_key(docs, id_col, text_col)
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
     joined = docs.withColumns({a: k1, b: k2}).join(kept.hint("merge"), [a, b], "left")
-    joined = joined.withColumn(rank, F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(0))))
+    joined = joined.withColumn(rank, F.row_number().over(Window.partitionBy(a, b).orderBy(tie)))
     some = F.when(F.col(rank) == 1, F.coalesce(F.col(nos), F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
     blank = F.filter(
         F.transform(F.col(parts), lambda x, i: F.when(F.trim(x, F.lit(" \t\r\f\x0b")) == "", i)), lambda i: i.isNotNull()
