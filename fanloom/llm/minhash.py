@@ -8,10 +8,14 @@ share a band are verified with the exact Jaccard of their shingle sets. Document
 pairs of the one of least key then hold for each of them, and they are pairs of each other. With 30 bands of 5 rows a pair of Jaccard 0.6 shares a band with
 probability 0.91, one of 0.7 with 0.996.
 
+``near_duplicates`` lists the pairs of all documents; the query gives a row for each document (``near_classes``): the
+class that pairs connect and its number of pairs, copies counted, so that the rows follow the table.
+
 Defined cases
-    null and empty texts and texts without words: in no pair. Fewer words than ``n``: one shingle of all words. Null
-    doc_id: left out of the pairs. Rows that repeat a doc_id and text are one document. Same doc_id with different
-    texts: a pair of equal ids is left out. Empty table: no rows. Further columns: ignored. No cap on partners.
+    null and empty texts and texts without words: in no pair, a class of their own. Fewer words than ``n``: one shingle
+    of all words. Null doc_id: left out of the pairs, has a class and links like others. Rows that repeat a doc_id and
+    text are one document. Same doc_id with different texts: a pair of equal ids is left out, each has a row of its own
+    and counts as a link of the other. Empty table: no rows. Further columns: ignored. No cap on partners.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fanloom.llm.groups import components
 from fanloom.llm.ngramjoin import (
@@ -80,15 +85,20 @@ def verified_candidates(sets: list[np.ndarray], t: float, count: int, width: int
     return i, j, jaccard[i, j]
 
 
+def fingerprints(rows: DataFrame, n: int, count: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of ``keyed`` rows, their stand-ins, and the blocks (node, label) of stand-ins that bands connect."""
+    sets = materialise(sketches(rows, n, count * width, width), "fingerprints")
+    reps = materialise(stand_ins(sets), "reps")
+    once = sets.join(reps.where("kid = rep").select("kid"), "kid", "left_semi").dropDuplicates(["kid"])
+    return sets, reps, components(star_links(once))
+
+
 def near_duplicates(
     docs: DataFrame, n: int = N, t: float = THRESHOLD, count: int = BANDS, width: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b."""
     rows = keyed(docs, id_col, text_col)
-    sets = materialise(sketches(rows, n, count * width, width), "fingerprints")
-    reps = materialise(stand_ins(sets), "reps")
-    once = sets.join(reps.where("kid = rep").select("kid"), "kid", "left_semi").dropDuplicates(["kid"])
-    blocks = components(star_links(once))
+    sets, reps, blocks = fingerprints(rows, n, count, width)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kid, sets, left = part_sets(pdf)
@@ -99,5 +109,48 @@ def near_duplicates(
     return pair_rows(pairs, node_ids(sets, reps))
 
 
+def connected(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of the nodes that pairs (i, j) connect with each of the nodes 0 ... m - 1."""
+    least = np.arange(m)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, i, least[j])
+        np.minimum.at(new, j, least[i])
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def near_classes(
+    docs: DataFrame, n: int = N, t: float = THRESHOLD, count: int = BANDS, width: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, class_id, n_links), a row for each document: its class, which is what the pairs connect, and the number
+    of other documents with which it is a pair. Pairs stay in their blocks, so that what is shuffled follows the rows."""
+    rows = keyed(docs, id_col, text_col)
+    _, reps, blocks = fingerprints(rows, n, count, width)
+    held = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("held"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kid, sets, left = part_sets(pdf)
+        i, j, _ = verified_candidates(sets, t, count, width, left)
+        own = pdf.drop_duplicates("kid").set_index("kid")["held"].loc[kid].to_numpy()
+        links = np.zeros(len(kid), np.int64)
+        np.add.at(links, i, own[j])
+        np.add.at(links, j, own[i])
+        some = links > 0
+        return pd.DataFrame({"a": kid[connected(len(kid), i, j)][some], "b": kid[some], "links": links[some]})
+
+    parts = block_parts(rows, blocks.join(held.withColumnRenamed("rep", "node"), "node"), n)
+    found = materialise(parts.groupBy("label", "x", "y").applyInPandas(run, "a long, b long, links long"), "links")
+    links = found.groupBy(F.col("b").alias("rep")).agg(F.sum("links").alias("links"))
+    labels = components(found).withColumnRenamed("node", "rep")
+    classes = held.join(links, "rep", "left").join(labels, "rep", "left")
+    classes = classes.select("rep", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("held") - 1).alias("n_links"))
+    own = reps.select("kid", "rep").join(classes, "rep").drop("rep")
+    every = rows.select("kid", "doc_id").dropDuplicates(["kid"])
+    return every.join(own, "kid", "left").select("doc_id", F.coalesce("class_id", "kid").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), N, THRESHOLD, BANDS, ROWS)
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), N, THRESHOLD, BANDS, ROWS)

@@ -405,14 +405,15 @@ def _packed_sets(rows: DataFrame, n: int) -> DataFrame:
 def block_parts(rows: DataFrame, blocks: DataFrame, n: int, part: int = PART) -> DataFrame:
     """(kid, label, i, x, y, grams): the sets of the documents of each block (node, label), once a block, and where a
     block has several parts, once for each pair of parts (x, y) that the document's part i belongs to. A document that
-    has several rows comes several times."""
+    has several rows comes several times. Further columns of ``blocks`` are kept, before the sets."""
+    more = [c for c in blocks.columns if c not in ("node", "label")]
     sized = blocks.join(blocks.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label")
     parts = F.ceil(F.col("m") / part).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    spread = sized.select(F.col("node").alias("kid"), "label", mine.alias("i"), parts.alias("p"))
-    packed = _packed_sets(sized_join(rows.select("kid", "text"), spread, ["kid"], "inner").select("kid", "label", "i", "p", "text"), n)
+    spread = sized.select(F.col("node").alias("kid"), "label", mine.alias("i"), parts.alias("p"), *more)
+    packed = _packed_sets(sized_join(rows.select("kid", "text"), spread, ["kid"], "inner").select("kid", "label", "i", "p", *more, "text"), n)
     each = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    return each.select("kid", "label", "i", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"), "grams")
+    return each.select("kid", "label", "i", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"), *more, "grams")
 
 
 def part_sets(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], int | None]:

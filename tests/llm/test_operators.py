@@ -107,6 +107,36 @@ def test_minhash_recall_of_pairs(spark, docs, corpus):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_minhash_classes_and_links(spark, docs, corpus, none, monkeypatch):
+    rows = copies(corpus)
+    df = spark.createDataFrame(rows, docs.schema).repartition(3)
+    nodes, pairs = brute_groups(rows, 3, 0.6)
+    every = {(r[0], r[1]) for r in rows}
+    groups, degree = components(every, pairs), Counter(x for p in pairs for x in p)
+    want = Counter((d[0], degree[d]) for d in every)
+    got = minhash.near_classes(df).collect()
+    assert len(got) == len(every) and Counter(r.doc_id for r in got) == Counter(d[0] for d in every)
+    assert sum(min(r.n_links, max(degree[d] for d in every if d[0] == r.doc_id)) for r in got) >= 0.9 * sum(degree.values())
+    # bands of one row link all pairs of such Jaccard: the exact classes and numbers
+    for part in (ngramjoin.PART, 2):
+        monkeypatch.setattr(minhash, "block_parts", lambda r, b, n, part=part: ngramjoin.block_parts(r, b, n, part))
+        got = minhash.near_classes(df, count=60, width=1).collect()
+        assert Counter((r.doc_id, r.n_links) for r in got) == want
+        once = {r.doc_id: r.class_id for r in got if r.doc_id not in (6, None)}
+        brute = {d[0]: groups[d] for d in every if d[0] in once}
+        assert len({(once[k], brute[k]) for k in once}) == len(set(once.values())) == len(set(brute.values()))
+    assert minhash.near_classes(none).count() == 0
+
+
+def test_minhash_query_has_a_row_a_document(spark, docs, corpus, tmp_path):
+    rows = [r for r in corpus if r[0] is not None] + [(k, corpus[3][1], *corpus[3][2:]) for k in range(1000, 1060)]
+    spark.createDataFrame(rows, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = minhash.op1_minhash(spark, str(tmp_path)).collect()
+    assert len(got) == len({(r[0], r[1]) for r in rows})
+    same = [r for r in got if r.doc_id == 3 or r.doc_id >= 1000]
+    assert len({r.class_id for r in same}) == 1 and min(r.n_links for r in same) >= 63  # itself aside: 60 and the three copies
+
+
 def test_keep_one(docs, corpus):
     kept = [(r.doc_id, r.text) for r in ngramjoin.keep_one(docs, 4, 0.5).collect()]
     nodes, pairs = brute_groups(corpus, 4, 0.5)
