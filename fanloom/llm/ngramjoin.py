@@ -45,6 +45,7 @@ THRESHOLD = 0.5
 EXTRA = 16  # the most further shared n-grams that a pair of candidates is asked for
 BANDS, ROWS = 8, 4
 PART = 800
+PIVOTS = 32
 HEAVY = 1 << 17  # ranks for that many of the most frequent n-grams at least, and for one of a thousand ...
 HEAVIEST = 1 << 22  # ... up to that many (64 MB to broadcast); others share the first rank
 BUCKET = 1 << 22  # n-grams that a bucket of beginnings has about, of eight bytes each, whatever the corpus
@@ -232,24 +233,31 @@ def postings(rows: DataFrame, n: int, t: float, buckets: int, heavy) -> DataFram
     return rows.mapInArrow(run, "bucket int, heads binary, posts binary")
 
 
-def _run_pairs(start: np.ndarray, length: np.ndarray, most: int = 2_000_000):
-    """(left, right) places of all pairs within runs, in bounded blocks."""
-    for size in np.unique(length):
-        at = start[length == size]
-        if size <= 1500:
-            i, j = np.triu_indices(int(size), 1)
-            step = max(1, most // max(1, len(i)))
-            for k in range(0, len(at), step):
-                own = at[k : k + step, None]
-                yield (own + i).reshape(-1), (own + j).reshape(-1)
-        else:
-            for s in at:
-                for i in range(int(size) - 1):
-                    yield np.full(int(size) - 1 - i, s + i), np.arange(s + i + 1, s + int(size))
+def _later_pairs(begin: np.ndarray, end: np.ndarray, most: int = 2_000_000):
+    """(left, right) places: each place with those from ``begin`` to ``end`` of it, in bounded blocks."""
+    count = end - begin
+    total = np.cumsum(count)
+    at = 0
+    while at < len(count):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        own = count[at:stop]
+        if own.any():
+            x = np.repeat(np.arange(at, stop), own)
+            yield x, np.arange(len(x)) + np.repeat(begin[at:stop] - (np.cumsum(own) - own), own)
+        at = stop
+
+
+def _ends(new: np.ndarray) -> np.ndarray:
+    """Where the run of each place ends, for marks of the first places of runs."""
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(new))
+    return np.repeat(last, last - first)
 
 
 def shared_beginnings(heads: np.ndarray, gram: np.ndarray, at: np.ndarray, t: float, extra: int):
-    """(kid, kid, size, size, count) of pairs of sets with different labels that share counted beginnings."""
+    """(kid, kid, size, size, count) of pairs of sets with different labels that share counted beginnings.
+
+    Sets of one label that share an n-gram stand side by side and are passed over together."""
     doc = np.repeat(np.arange(len(heads), dtype=np.int32), heads["n"])
     size, label = heads["size"].astype(np.int64), heads["label"]
     codes, counts, total = [], [], 0
@@ -260,18 +268,16 @@ def shared_beginnings(heads: np.ndarray, gram: np.ndarray, at: np.ndarray, t: fl
 
     for part in range(8):  # an eighth of the hash space at a time
         own = np.flatnonzero((gram & np.uint64(7)).astype(np.uint8) == part)
-        order = own[np.argsort(gram[own], kind="stable")]
+        order = own[np.lexsort((label[doc[own]], gram[own]))]
         g, d, p = gram[order], doc[order].astype(np.int64), at[order].astype(np.int64)
         if not len(g):
             continue
-        new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        length = np.diff(np.concatenate([new, [len(g)]]))
-        many = length > 1
-        for x, y in _run_pairs(new[many], length[many]):
+        new, kin = np.concatenate([[True], g[1:] != g[:-1]]), label[d]
+        for x, y in _later_pairs(_ends(new | np.concatenate([[True], kin[1:] != kin[:-1]])), _ends(new)):
             dx, dy = d[x], d[y]
             sx, sy = size[dx], size[dy]
             most = np.maximum(sx, sy)
-            ok = (label[dx] != label[dy]) & (np.minimum(sx, sy) >= t * most - 1e-9)
+            ok = np.minimum(sx, sy) >= t * most - 1e-9
             x, y, dx, dy, sx, sy, most = (v[ok] for v in (x, y, dx, dy, sx, sy, most))
             o = needed(sx, sy, t)
             k = np.minimum(extra, np.maximum(o - np.ceil(t * most - 1e-9).astype(np.int64), 0))
@@ -312,10 +318,12 @@ def counted_links(packed: DataFrame, t: float, extra: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("k").alias("k")).where("c > k").select("a", "b")
 
 
-def trie_pairs(sets: list[np.ndarray], sizes: np.ndarray, t: float, left: int | None = None):
+def trie_pairs(sets: list[np.ndarray], sizes: np.ndarray, t: float, left: int | None = None, connect: bool = False):
     """(i, j, overlap) of the sets (sorted values of the global order) whose Jaccard reaches ``t``.
 
-    With ``left``, only pairs of one set before that place and one from there on."""
+    With ``left``, only pairs of one set before that place and one from there on. With ``connect``, pairs that connect
+    what all of them connect (and no others): some sets are compared with all that have no group yet, and take those
+    that reach the threshold for their group; in the trie, sets of one group needn't meet."""
     m = len(sets)
     flat = np.concatenate(sets) if m else np.zeros(0, np.uint64)
     values, back, n = np.unique(flat, return_inverse=True, return_counts=True)
@@ -329,6 +337,19 @@ def trie_pairs(sets: list[np.ndarray], sizes: np.ndarray, t: float, left: int |
     has = np.zeros((int(shared.sum()), m), np.uint8)
     for k, s in enumerate(seqs):
         has[s, k] = 1
+    out = []
+    group = np.arange(m)
+    if connect:
+        rest = np.arange(m)
+        for _ in range(PIVOTS):
+            if len(rest) < 2:
+                break
+            k = int(rest[len(rest) // 2])
+            o = has[seqs[k]][:, rest].sum(0, dtype=np.int64)
+            own = (o >= t * (sizes[rest] + sizes[k] - o) - 1e-9) & (rest != k)
+            out += [(k, q, v) for q, v in zip(rest[own].tolist(), o[own].tolist())]
+            group[rest[own]] = k
+            rest = rest[~own & (rest != k)]
     order = sorted(range(m), key=lambda k: seqs[k].astype(">i4").tobytes())
     if left is not None:
         order = [k for k in order if k < left]
@@ -336,19 +357,23 @@ def trie_pairs(sets: list[np.ndarray], sizes: np.ndarray, t: float, left: int |
     place[order] = np.arange(len(order))
     length = np.array([len(s) for s in seqs], np.int64)
     everyone = np.arange(m) if left is None else np.arange(left, m)
-    out = []
     stack = [(0, len(order), 0, np.zeros(len(everyone), np.int64), everyone)]
     while stack:
         lo, hi, depth, over, alive = stack.pop()
         if hi <= lo:
             continue
+        below = np.array(order[lo:hi])
+        if connect and (group[below] == group[below[0]]).all():
+            some = group[alive] != group[below[0]]
+            over, alive = over[some], alive[some]
+            if not len(alive):
+                continue
         first, last = seqs[order[lo]], seqs[order[hi - 1]]
         most = min(len(first), len(last))
         differ = np.flatnonzero(first[depth:most] != last[depth:most])
         end = depth + (int(differ[0]) if len(differ) else most - depth)
         if end > depth:
             over = over + has[first[depth:end]][:, alive].sum(0, dtype=np.int64)
-        below = np.array(order[lo:hi])
         remain = int(length[below].max()) - end
         need = t / (1 + t) * (sizes[alive] + int(sizes[below].min())) - 1e-9
         keep = over + np.minimum(remain, length[alive] - over) >= need
@@ -423,15 +448,16 @@ def part_sets(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], int | No
     return pdf["kid"].to_numpy(), [unpack(g) for g in pdf["grams"]], None if x == y else int((pdf["i"] == x).sum())
 
 
-def verified(rows: DataFrame, blocks: DataFrame, n: int, t: float, heavy, part: int = PART) -> DataFrame:
-    """(a, b, jaccard) of the documents of each block whose sets reach the threshold, a < b."""
+def verified(rows: DataFrame, blocks: DataFrame, n: int, t: float, heavy, part: int = PART, connect: bool = False) -> DataFrame:
+    """(a, b, jaccard) of the documents of each block whose sets reach the threshold, a < b; with ``connect``, as many
+    of them as connect the same."""
     shared = rows.sparkSession.sparkContext.broadcast(heavy)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kid, sets, left = part_sets(pdf)
         sets = [np.sort(ordered(s, shared.value)) for s in sets]
         sizes = np.array([len(s) for s in sets], np.int64)
-        found = trie_pairs(sets, sizes, t, left)
+        found = trie_pairs(sets, sizes, t, left, connect)
         i, j, o = (np.array(v, np.int64) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         a, b = kid[i], kid[j]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "jaccard": o / np.maximum(sizes[i] + sizes[j] - o, 1)})
@@ -439,8 +465,9 @@ def verified(rows: DataFrame, blocks: DataFrame, n: int, t: float, heavy, part:
     return block_parts(rows, blocks, n, part).groupBy("label", "x", "y").applyInPandas(run, "a long, b long, jaccard double")
 
 
-def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = EXTRA, id_col: str = "doc_id", text_col: str = "text"):
-    """Two tables: (a, b, jaccard) of the stand-ins that reach the threshold, and (kid, rep, copies, k1, k2, doc_id)."""
+def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = EXTRA, id_col: str = "doc_id", text_col: str = "text", connect: bool = False):
+    """Two tables: (a, b, jaccard) of the stand-ins that reach the threshold (with ``connect``, as many as connect the
+    same), and (kid, rep, copies, k1, k2, doc_id)."""
     if not 0 < t <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
     spark = docs.sparkSession
@@ -460,7 +487,7 @@ def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = E
     buckets = max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, int(total * (1 - t)) // BUCKET)
     links = counted_links(postings(own, n, t, buckets, heavy), t, extra)
     blocks = components(links.unionByName(stars))
-    pairs = verified(rows, blocks, n, t, heavy)
+    pairs = verified(rows, blocks, n, t, heavy, connect=connect)
     return pairs, node_ids(sets, reps)
 
 
@@ -494,7 +521,7 @@ def stand_in_rows(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one row (the least key) of each group that pairs connect."""
-    pairs, nodes = near_pairs(docs, n, t, EXTRA, id_col, text_col)
+    pairs, nodes = near_pairs(docs, n, t, EXTRA, id_col, text_col, connect=True)
     nodes = materialise(nodes, "nodes")
     edges = pairs.select("a", "b").unionByName(nodes.where("kid != rep").select(F.col("rep").alias("a"), F.col("kid").alias("b")))
     groups = components(edges).join(nodes.select(F.col("kid").alias("node"), "k1", "k2"), "node")

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,42 @@ def test_trie_join_equals_brute_force():
             assert cut == {k: v for k, v in want.items() if k[0] < 10 <= k[1]}
 
 
+def test_connecting_pairs_connect_the_same():
+    rng = random.Random(7)
+
+    def groups(m, pairs):
+        up = list(range(m))
+        for i, j in pairs:
+            up = [up[i] if x == up[j] else x for x in up]
+        return {frozenset(k for k in range(m) if up[k] == x) for x in up}
+
+    for case in range(60):
+        bases = [[rng.randint(0, 300) for _ in range(20)] for _ in range(rng.choice((1, 2, 40)))]
+        sets = [{x if rng.random() < 0.85 else rng.randint(0, 300) for x in rng.choice(bases)} for _ in range(90)]
+        arrays, sizes = [np.array(sorted(s), np.uint64) for s in sets], np.array([len(s) for s in sets])
+        for t in (0.3, 0.5, 0.8):
+            want = brute_pairs(sets, t)
+            got = {(min(i, j), max(i, j)): o for i, j, o in ngramjoin.trie_pairs(arrays, sizes, t, connect=True)}
+            assert got.items() <= want.items() and groups(90, got) == groups(90, want)
+            cut = [(i, j) for i, j, _ in ngramjoin.trie_pairs(arrays, sizes, t, 30, True)]
+            within = [k for k in want if k[0] >= 30 or k[1] < 30]
+            assert groups(90, cut + within) == groups(90, want)
+    base = rng.sample(range(10**6), 60)
+    arrays = [np.array(sorted({*base[:-3], *rng.sample(range(10**6), 3)}), np.uint64) for _ in range(200)]
+    assert len(ngramjoin.trie_pairs(arrays, np.array([len(a) for a in arrays]), 0.5, connect=True)) < 400  # all have 19,900
+
+
+def test_sets_of_one_label_cost_no_pairs():
+    m, k = 4000, 40
+    heads = np.zeros(m + 1, ngramjoin._HEAD)
+    heads["kid"], heads["size"], heads["n"] = np.arange(m + 1), k, k
+    heads["label"][m] = 1
+    begin = time.perf_counter()
+    a, b, _, _, c = ngramjoin.shared_beginnings(heads, np.tile(np.arange(k, dtype=np.uint64), m + 1), np.tile(np.arange(k, dtype=np.uint16), m + 1), 0.5, 16)
+    assert time.perf_counter() - begin < 5
+    assert len(a) == m and set(np.maximum(a, b)) == {m} and len(set(c)) == 1
+
+
 def test_candidate_rule_keeps_every_pair():
     rng = random.Random(4)
     for t in (0.4, 0.5, 0.7):
