@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +26,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = found.select("node", "label")
         if not found.where("moved").limit(1).count():
             return labels
+
+
+def connected(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of the nodes that pairs (i, j) connect with each of the nodes 0 ... m - 1."""
+    least = np.arange(m)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, i, least[j])
+        np.minimum.at(new, j, least[i])
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new

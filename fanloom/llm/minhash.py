@@ -34,6 +34,7 @@ from fanloom.llm.ngramjoin import (
     node_ids,
     pair_rows,
     part_sets,
+    partner_counts,
     sketches,
     stand_ins,
     star_links,
@@ -109,19 +110,6 @@ def near_duplicates(
     return pair_rows(pairs, node_ids(sets, reps))
 
 
-def connected(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least of the nodes that pairs (i, j) connect with each of the nodes 0 ... m - 1."""
-    least = np.arange(m)
-    while True:
-        new = least.copy()
-        np.minimum.at(new, i, least[j])
-        np.minimum.at(new, j, least[i])
-        new = new[new]
-        if (new == least).all():
-            return least
-        least = new
-
-
 def near_classes(
     docs: DataFrame, n: int = N, t: float = THRESHOLD, count: int = BANDS, width: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -134,12 +122,7 @@ def near_classes(
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kid, sets, left = part_sets(pdf)
         i, j, _ = verified_candidates(sets, t, count, width, left)
-        own = pdf.drop_duplicates("kid").set_index("kid")["held"].loc[kid].to_numpy()
-        links = np.zeros(len(kid), np.int64)
-        np.add.at(links, i, own[j])
-        np.add.at(links, j, own[i])
-        some = links > 0
-        return pd.DataFrame({"a": kid[connected(len(kid), i, j)][some], "b": kid[some], "links": links[some]})
+        return partner_counts(pdf, kid, i, j)
 
     parts = block_parts(rows, blocks.join(held.withColumnRenamed("rep", "node"), "node"), n)
     found = materialise(parts.groupBy("label", "x", "y").applyInPandas(run, "a long, b long, links long"), "links")

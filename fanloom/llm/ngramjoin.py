@@ -5,8 +5,10 @@ are those of local heavy hitters only: each block of about 4 million n-grams of
 least ``_LOCAL`` times, and these are summed. N-grams spread thinly lose counts, and those without any share the first
 rank. So the order depends on the partitioning, and with it the number of candidates; the pairs don't.
 
-1. Documents with equal sets are one node, the one with the least key stands for them. The query returns the pairs of
-   stand-ins and each other document with its stand-in (``stand_in_rows``); ``pair_rows`` lists the pairs of all documents.
+1. Documents with equal sets are one node, the one with the least key stands for them. The query gives a row for each
+   document (``near_classes``): the class that pairs connect and its number of pairs, copies counted, so that the rows
+   follow the table. ``stand_in_rows`` lists the pairs of stand-ins and each other document with its stand-in,
+   ``pair_rows`` the pairs of all documents.
 2. Candidates. If two sets have a Jaccard of at least ``threshold``, they share n-grams among their first ones in the
    order: at least one among the first ``size - overlap + 1`` of each, and ``k + 1`` among the first ``size - overlap
    + 1 + k``. Sets send the n-grams of the longest such beginning, packed, to buckets of the hash space, where pairs
@@ -21,10 +23,12 @@ rank. So the order depends on the partitioning, and with it the number of candid
    sets are cut into pairs of parts that run apart.
 
 Defined cases
-    null and empty texts and texts without words: no n-grams, in no pair. Fewer words than ``n``: one n-gram of all
-    words. Null doc_id: left out of pairs of ids, but takes part in ``near_groups``. Rows that repeat a doc_id and text
-    are one document. Same doc_id with different texts: compared, a pair of equal ids is left out. Ties: none, the
-    least key (doc_id, then text hash) stands for a group. Empty table: no rows. Further columns: ignored.
+    null and empty texts and texts without words: no n-grams, in no pair, a class of their own. Fewer words than ``n``:
+    one n-gram of all words. Null doc_id: left out of pairs of ids, but has a class and links like others. Rows that
+    repeat a doc_id and text are one document. Same doc_id with different texts: compared, a pair of equal ids is left
+    out; each has a row of its own and counts as a link of the other. A class has the least doc_id in it, null if there
+    is none; where different texts share an id, so may classes. Ties: none, the least key (doc_id, then text hash)
+    stands for a group. Empty table: no rows. Further columns: ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanloom.llm import vec
-from fanloom.llm.groups import components
+from fanloom.llm.groups import components, connected
 from fanloom.llm.keys import doc_key, sized_join
 from fanloom.session import fresh, materialise
 
@@ -448,26 +452,43 @@ def part_sets(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], int | No
     return pdf["kid"].to_numpy(), [unpack(g) for g in pdf["grams"]], None if x == y else int((pdf["i"] == x).sum())
 
 
+def part_pairs(pdf: pd.DataFrame, t: float, heavy, connect: bool = False):
+    """(kids, sizes of their sets, and places i, j and overlaps of the pairs) of a group of ``block_parts``."""
+    kid, sets, left = part_sets(pdf)
+    sets = [np.sort(ordered(s, heavy)) for s in sets]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    found = trie_pairs(sets, sizes, t, left, connect)
+    i, j, o = (np.array(v, np.int64) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    return kid, sizes, i, j, o
+
+
 def verified(rows: DataFrame, blocks: DataFrame, n: int, t: float, heavy, part: int = PART, connect: bool = False) -> DataFrame:
     """(a, b, jaccard) of the documents of each block whose sets reach the threshold, a < b; with ``connect``, as many
     of them as connect the same."""
     shared = rows.sparkSession.sparkContext.broadcast(heavy)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kid, sets, left = part_sets(pdf)
-        sets = [np.sort(ordered(s, shared.value)) for s in sets]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        found = trie_pairs(sets, sizes, t, left, connect)
-        i, j, o = (np.array(v, np.int64) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        kid, sizes, i, j, o = part_pairs(pdf, t, shared.value, connect)
         a, b = kid[i], kid[j]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "jaccard": o / np.maximum(sizes[i] + sizes[j] - o, 1)})
 
     return block_parts(rows, blocks, n, part).groupBy("label", "x", "y").applyInPandas(run, "a long, b long, jaccard double")
 
 
-def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = EXTRA, id_col: str = "doc_id", text_col: str = "text", connect: bool = False):
-    """Two tables: (a, b, jaccard) of the stand-ins that reach the threshold (with ``connect``, as many as connect the
-    same), and (kid, rep, copies, k1, k2, doc_id)."""
+def partner_counts(pdf: pd.DataFrame, kid: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """(a, b, links) of the sets ``kid`` of a group of ``block_parts`` that are in pairs (i, j): the first set that these
+    connect with b, and the documents (``held`` by each set) of all its partners."""
+    own = pdf.drop_duplicates("kid").set_index("kid")["held"].loc[kid].to_numpy()
+    links = np.zeros(len(kid), np.int64)
+    np.add.at(links, i, own[j])
+    np.add.at(links, j, own[i])
+    some = links > 0
+    return pd.DataFrame({"a": kid[connected(len(kid), i, j)][some], "b": kid[some], "links": links[some]})
+
+
+def candidates(docs: DataFrame, n: int, t: float, extra: int, id_col: str, text_col: str):
+    """The ``keyed`` rows, their sketches and stand-ins, the blocks (node, label) of stand-ins that may be pairs, and the
+    most frequent n-grams."""
     if not 0 < t <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
     spark = docs.sparkSession
@@ -486,9 +507,14 @@ def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = E
     own = joined.where(~F.coalesce("out", F.lit(False))).select("kid", F.coalesce("label", "kid").alias("label"), "text")
     buckets = max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, int(total * (1 - t)) // BUCKET)
     links = counted_links(postings(own, n, t, buckets, heavy), t, extra)
-    blocks = components(links.unionByName(stars))
-    pairs = verified(rows, blocks, n, t, heavy, connect=connect)
-    return pairs, node_ids(sets, reps)
+    return rows, sets, reps, components(links.unionByName(stars)), heavy
+
+
+def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = EXTRA, id_col: str = "doc_id", text_col: str = "text", connect: bool = False):
+    """Two tables: (a, b, jaccard) of the stand-ins that reach the threshold (with ``connect``, as many as connect the
+    same), and (kid, rep, copies, k1, k2, doc_id)."""
+    rows, sets, reps, blocks, heavy = candidates(docs, n, t, extra, id_col, text_col)
+    return verified(rows, blocks, n, t, heavy, connect=connect), node_ids(sets, reps)
 
 
 def node_ids(sets: DataFrame, reps: DataFrame) -> DataFrame:
@@ -519,6 +545,32 @@ def stand_in_rows(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.unionByName(same).where("x != y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
 
 
+def near_classes(
+    docs: DataFrame, n: int = N, t: float = THRESHOLD, extra: int = EXTRA, id_col: str = "doc_id", text_col: str = "text", part: int = PART
+) -> DataFrame:
+    """(doc_id, class_id, n_links), a row for each document: the least doc_id of its class, which is what the pairs
+    connect, and the number of other documents with which it is a pair. Pairs stay in their blocks."""
+    rows, sets, reps, blocks, heavy = candidates(docs, n, t, extra, id_col, text_col)
+    members = materialise(node_ids(sets, reps).select("kid", "rep", "doc_id"), "members")
+    held = members.groupBy("rep").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("least"))
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kid, _, i, j, _ = part_pairs(pdf, t, shared.value)
+        return partner_counts(pdf, kid, i, j)
+
+    parts = block_parts(rows, blocks.join(held.select(F.col("rep").alias("node"), "held"), "node"), n, part)
+    found = materialise(parts.groupBy("label", "x", "y").applyInPandas(run, "a long, b long, links long"), "links")
+    links = found.groupBy(F.col("b").alias("rep")).agg(F.sum("links").alias("links"))
+    labels = components(found).withColumnRenamed("node", "rep")
+    own = held.join(links, "rep", "left").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    own = materialise(own.select("rep", "label", "least", (F.coalesce("links", F.lit(0)) + F.col("held") - 1).alias("n_links")), "classes")
+    classes = own.drop("least").join(own.groupBy("label").agg(F.min("least").alias("class_id")), "label")
+    each = members.select("kid", "rep").join(classes, "rep").select("kid", "class_id", "n_links")
+    every = rows.select("kid", "doc_id").dropDuplicates(["kid"])
+    return every.join(each, "kid", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one row (the least key) of each group that pairs connect."""
     pairs, nodes = near_pairs(docs, n, t, EXTRA, id_col, text_col, connect=True)
@@ -537,10 +589,35 @@ def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "d
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, nodes = near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"), N, THRESHOLD)
-    return stand_in_rows(pairs, nodes)
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), N, THRESHOLD)
 
 
+OP9_CLASSES_SQL = """
+with recursive d as materialized (
+    select row_number() over (order by doc_id, text) as k, doc_id, text from (select distinct doc_id, text from documents)
+), w as (
+    select k, regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as ws from d
+), g as materialized (
+    select distinct k, array_to_string(ws[i : least(i + 3, len(ws))], ' ') as gram
+    from w, lateral (select unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as i) where len(ws) > 0
+), s as (
+    select k, count(*) as n from g group by k
+), p as (
+    select a.k as a, b.k as b, count(*) as o from g a join g b on a.gram = b.gram and a.k <> b.k group by all
+), e as materialized (
+    select a, b from p join s x on x.k = a join s y on y.k = b where o / (x.n + y.n - o) >= 0.5
+), r as (
+    select k, k as other from d
+    union
+    select r.k, e.b from r join e on e.a = r.other
+), c as (
+    select r.k, min(d.doc_id) as class_id from r join d on d.k = r.other group by r.k
+), l as (
+    select a as k, count(*) as n_links from e group by a
+)
+select d.doc_id, c.class_id, coalesce(l.n_links, 0) as n_links from d join c on c.k = d.k left join l on l.k = d.k
+"""
+# the pairs of ``stand_in_rows``
 OP9_SQL = """
 with w as (
     select doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as ws from documents

@@ -18,6 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op5_line_dedup": lines.OP5_SQL,
-    "op9_ngram_join": ngramjoin.OP9_SQL,
+    "op9_ngram_join": ngramjoin.OP9_CLASSES_SQL,
     "op8_warc_revisits": warc.OP8_SQL,
 }

@@ -80,12 +80,12 @@ def test_ngram_join_has_all_pairs(spark, docs, corpus):
         assert set(got) == expected_ids(rows, 4, 0.5) and len(once) == len(set(once))
 
 
-def test_ngram_join_query_equals_sql(spark, docs, corpus, tmp_path):
+def test_ngram_join_pairs_of_stand_ins_equal_sql(spark, docs, corpus, tmp_path):
     import duckdb
 
     first = {r[0]: r for r in reversed(copies(corpus)) if r[0] is not None and r[1] is not None}
     spark.createDataFrame(list(first.values()), docs.schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    got = [(r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in ngramjoin.op9_ngram_join(spark, str(tmp_path)).collect()]
+    got = [(r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in ngramjoin.stand_in_rows(*ngramjoin.near_pairs(spark.read.parquet(f"{tmp_path}/documents.parquet"))).collect()]
     duck = duckdb.connect()
     duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     want = [(a, b, round(j, 9)) for a, b, j in duck.execute(ngramjoin.OP9_SQL).fetchall()]
@@ -93,6 +93,33 @@ def test_ngram_join_query_equals_sql(spark, docs, corpus, tmp_path):
     assert closure([r[:2] for r in got]) == closure(expected_ids(list(first.values()), 4, 0.5))
 
 
+def test_ngram_join_query_equals_sql(spark, docs, corpus, tmp_path):
+    import duckdb
+
+    rows = copies(corpus)  # odd rows included: null ids and texts, repeated rows, one id with two texts
+    spark.createDataFrame(rows, docs.schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(tuple(r) for r in ngramjoin.op9_ngram_join(spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == Counter(duck.execute(ngramjoin.OP9_CLASSES_SQL).fetchall())
+
+
+def test_ngram_join_classes_and_links(spark, docs, corpus, none):
+    texts = [" ".join(f"w{k}" for k in range(200) if k != gone) for gone in range(60)]  # 60 near copies, 1,770 pairs
+    rows = copies(corpus) + [(1000 + k, t, *corpus[3][2:]) for k, t in enumerate(texts)]
+    nodes, pairs = brute_groups(rows, 4, 0.5)
+    every = {(r[0], r[1]) for r in rows}
+    groups, degree = components(every, pairs), Counter(x for p in pairs for x in p)
+    ids = {g: min((d[0] for d in every if groups[d] == g and d[0] is not None), default=None) for g in set(groups.values())}
+    want = Counter((d[0], ids[groups[d]], degree[d]) for d in every)
+    df = spark.createDataFrame(rows, docs.schema).repartition(3)
+    for part in (ngramjoin.PART, 20):
+        got = Counter(tuple(r) for r in ngramjoin.near_classes(df, part=part).collect())
+        assert got == want and sum(got.values()) == len(every)
+    assert {k: n for k, _, n in want if k is not None and k >= 1000} == {1000 + k: 59 for k in range(60)}
+    assert ngramjoin.near_classes(none).count() == 0
+
+
 def test_minhash(docs, corpus, none):
     got = {(r.doc_a, r.doc_b) for r in minhash.near_duplicates(docs).collect()}
     want = expected_ids(corpus, 3, 0.6)
