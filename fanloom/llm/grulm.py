@@ -24,6 +24,8 @@ Defined cases
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import heapq
 from dataclasses import dataclass
 
@@ -48,6 +50,8 @@ RATE = 0.08
 _UNKNOWN, _END = 0, 1
 _BLOCK = 1 << 14
 _FAN = 256
+_RANKS = 16
+_PIECE = 1 << 14
 
 
 def tokens(column: pa.Array):
@@ -60,10 +64,29 @@ def tokens(column: pa.Array):
         yield a, vec.hashes(low, s, e), np.searchsorted(s, own), low, s, e
 
 
+def _steady(run):
+    """Keeps freed memory in the process while a task runs: else the arrays of every window are paged in again."""
+    trim, mmap, usual = -1, -3, 1 << 17
+
+    @functools.wraps(run)
+    def steadied(batches):
+        set_ = getattr(ctypes.CDLL(None), "mallopt", lambda *_: 0)
+        set_(trim, 1 << 26)
+        set_(mmap, 1 << 25)
+        try:
+            yield from run(batches)
+        finally:
+            set_(trim, usual)
+            set_(mmap, usual)
+
+    return steadied
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(kind, h, n): counts of word hashes (kind 0), of their bytes and ends (kind 1), and of documents (kind 2)."""
 
     @vec.tidy
+    @_steady
     def run(batches):
         held, total = [], 0
         bytes_ = np.zeros(257, np.int64)
@@ -104,8 +127,13 @@ class Lexicon:
     def encode(self, h: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.zeros(len(h), np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.ids[at], _UNKNOWN).astype(np.int32)
+        top = np.searchsorted(self.hashes >> np.uint64(48), np.arange((1 << 16) + 1)).astype(np.int32)  # where hashes of each first 16 bits begin
+        at = top[h >> np.uint64(48)]
+        found = np.full(len(h), _UNKNOWN, np.int32)
+        for k in range(int(np.diff(top).max())):
+            own = np.minimum(at + k, len(self.hashes) - 1)
+            np.copyto(found, self.ids[own], where=self.hashes[own] == h)
+        return found
 
 
 def lexicon(texts: DataFrame, size: int = VOCABULARY) -> Lexicon:
@@ -130,7 +158,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _log_softmax(a: np.ndarray, chosen: np.ndarray, grad: bool) -> np.ndarray:
     """Log-probabilities of the chosen columns of logits ``a``; with ``grad``, ``a`` becomes the gradient of their sum."""
     rows = np.arange(len(a))
-    a -= a.max(1, keepdims=True)
+    if not (a.size and -60 < a.min() and a.max() < 60):  # else their exponentials are in range as they are
+        a -= a.max(1, keepdims=True)
     ll = a[rows, chosen]
     np.exp(a, out=a)
     total = a @ np.ones(a.shape[1], a.dtype)
@@ -140,10 +169,15 @@ def _log_softmax(a: np.ndarray, chosen: np.ndarray, grad: bool) -> np.ndarray:
     return ll - np.log(total)
 
 
-def _adagrad(p: np.ndarray, g: np.ndarray, squares: np.ndarray, scale, rate: float) -> None:
-    """Moves ``p`` up the gradient ``g`` (overwritten), scaled and clipped."""
-    g *= scale
-    np.clip(g, -1, 1, out=g)
+def _adagrad(p: np.ndarray, g: np.ndarray, squares: np.ndarray, rate: float, clip: bool) -> None:
+    """Moves ``p`` up the gradient ``g``, clipped where it can be over 1."""
+    if p.size > 4 * _PIECE and len(p) > 1:  # in pieces that stay in the processor's cache
+        n = max(1, _PIECE * len(p) // p.size)
+        for k in range(0, len(p), n):
+            _adagrad(p[k : k + n], g[k : k + n], squares[k : k + n], rate, clip)
+        return
+    if clip:
+        np.clip(g, -1, 1, out=g)
     t = g * g
     squares += t
     np.add(squares, 1e-6, out=t)
@@ -199,113 +233,161 @@ class Gru:
         m = np.tanh(x[:, 2 * d :] + (r * h) @ self.p["U"][:, 2 * d :])
         return m + z * (h - m), r, z, m
 
-    def output(self, h: np.ndarray, ids: np.ndarray, grad: bool = False):
-        """Log-probabilities of words after states, and with ``grad`` the gradients of their sum.
+    def halved(self, table: np.ndarray):
+        """The gates' parameters, of reset and update, and the new state's; the gates' are halved, in ``table`` too: a
+        sigmoid is half a hyperbolic tangent of the half, and a half."""
+        d, u = self.hidden, self.p["U"]
+        table[:, : 2 * d] *= 0.5
+        return np.ascontiguousarray(u[:, : 2 * d].reshape(d, 2, d).transpose(1, 0, 2)) * u.dtype.type(0.5), np.ascontiguousarray(u[:, 2 * d :])
+
+    def output(self, h: np.ndarray, ids: np.ndarray, scale: float = 0):
+        """Log-probabilities of words after states, and with ``scale`` the gradients of their sum, scaled.
 
         Rows are taken in the order of classes, so that each class's words need one product, and the rest is done for
-        all rows at once."""
-        place = self.place[ids]
-        order = np.argsort(place // self.width, kind="stable")
-        own, place = h[order], place[order]
-        cls, word = place // self.width, place % self.width
-        cut = np.searchsorted(cls, np.arange(self.classes + 1))
-        some = np.flatnonzero(np.diff(cut)).tolist()
-        cut = cut.tolist()
-        a = own @ self.p["C"]
-        a += self.p["c"]
-        ll = _log_softmax(a, cls, grad)
+        all rows at once. A last column of ones takes the biases along."""
+        place, d = self.place[ids], self.hidden
+        cls = (place // self.width).astype(np.uint16)  # few bits are sorted by their digits
+        order = np.argsort(cls, kind="stable")
+        own = np.empty((len(ids), d + 1), h.dtype)
+        own[:, :d], own[:, d] = h[order], 1
+        cls = cls[order]
+        word = place[order] - cls * np.int64(self.width)
+        cut = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        parts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        a = own @ np.concatenate([self.p["C"], self.p["c"][None]])
+        ll = _log_softmax(a, cls, bool(scale))
         q = np.empty((len(ids), self.width), a.dtype)
-        for k in some:
-            np.matmul(own[cut[k] : cut[k + 1]], self.p["O"][k], out=q[cut[k] : cut[k + 1]])
-        q += self.p["o"][cls]
-        ll += _log_softmax(q, word, grad)
+        both = np.concatenate([self.p["O"], self.p["o"][:, None]], 1)
+        for k, part in parts:
+            np.dot(own[part], both[k], q[part])
+        ll += _log_softmax(q, word, bool(scale))
         back = np.empty_like(ll)
         back[order] = ll
-        if not grad:
+        if not scale:
             return back
-        ones = np.ones(len(ids), a.dtype)
-        words = np.zeros((self.classes, self.hidden + 1, self.width), a.dtype)
-        g = {"C": own.T @ a, "c": ones @ a, "O": words[:, :-1], "o": words[:, -1]}
-        dh = a @ self.p["C"].T
-        more, left = np.empty_like(dh), np.concatenate([own, ones[:, None]], 1)
-        for k in some:
-            part = slice(cut[k], cut[k + 1])
-            np.matmul(left[part].T, q[part], out=words[k])
-            np.matmul(q[part], self.p["O"][k].T, out=more[part])
+        own *= scale
+        top, words = own.T @ a, np.zeros((self.classes, d + 1, self.width), a.dtype)
+        dh, more = a @ self.p["C"].T, np.empty((len(ids), d), a.dtype)
+        for k, part in parts:
+            np.dot(own[part].T, q[part], words[k])
+            np.dot(q[part], self.p["O"][k].T, more[part])
         dh += more
+        dh *= scale
         out = np.empty_like(dh)
         out[order] = dh
-        return back, out, g
+        return back, out, {"C": top[:-1], "c": top[-1], "O": words[:, :-1], "o": words[:, -1]}
 
     def window(self, ids_in, ids_out, fresh, live, h, squares, rate):
-        """One window of truncated backpropagation with Adagrad: (log-likelihood, state after it)."""
+        """One window of truncated backpropagation with Adagrad: (log-likelihood, state after it).
+
+        Reset gate, update gate and new state are parts of their own in all arrays, so that each is in one piece."""
         d, (steps, lanes), p = self.hidden, ids_in.shape, self.p
         kind = p["U"].dtype
         flat_in = ids_in.reshape(-1)
-        used, back = np.unique(flat_in, return_inverse=True)
+        counts = np.bincount(flat_in, minlength=len(p["E"]))
+        used = np.flatnonzero(counts)
+        used = used[np.argsort(-counts[used], kind="stable")]
+        counts = counts[used]
+        back = np.empty(len(p["E"]), np.intp)
+        back[used] = np.arange(len(used))
+        back = back[flat_in]
         embedded = p["E"][used]
         table = embedded @ p["W"] + p["b"]
-        table[:, : 2 * d] *= 0.5  # a sigmoid is half a hyperbolic tangent of the half, and a half
-        x = table[back].reshape(steps, lanes, 3 * d)
-        gates, fresh = np.ascontiguousarray(p["U"][:, : 2 * d]), fresh.astype(kind)[:, :, None]
-        half, new = gates * kind.type(0.5), np.ascontiguousarray(p["U"][:, 2 * d :])
-        before, m, states = (np.empty((steps, lanes, d), kind) for _ in range(3))
-        rz, rh, own = np.empty((steps, lanes, 2 * d), kind), np.empty((steps, lanes, d), kind), np.empty((lanes, d), kind)
-        for t in range(steps):
-            b, g = before[t], rz[t]
-            np.multiply(h, fresh[t], out=b)
+        half, new = self.halved(table)
+        x = table.reshape(-1, d).take(3 * back.reshape(steps, 1, lanes) + np.arange(3)[:, None], axis=0)
+        begins, fresh = (fresh == 0).any(1).tolist(), fresh.astype(kind)[:, :, None]
+        before, m, states, rh = (np.empty((steps, lanes, d), kind) for _ in range(4))
+        rz, own = np.empty((steps, 2, lanes, d), kind), np.empty((lanes, d), kind)
+        for b, g, c, now, after, x_, f, some in zip(before, rz, rh, m, states, x, fresh, begins):
+            if some:
+                np.multiply(h, f, out=b)
+            else:
+                b[...] = h
             np.matmul(b, half, out=g)
-            g += x[t, :, : 2 * d]
+            g += x_[:2]
             np.tanh(g, out=g)
             g *= 0.5
             g += 0.5
-            np.multiply(g[:, :d], b, out=rh[t])
-            np.matmul(rh[t], new, out=own)
-            own += x[t, :, 2 * d :]
-            h, now = states[t], m[t]
+            np.multiply(g[0], b, out=c)
+            np.dot(c, new, own)
+            own += x_[2]
             np.tanh(own, out=now)
-            np.subtract(b, now, out=h)
-            h *= g[:, d:]
-            h += now
+            np.subtract(b, now, out=after)
+            after *= g[1]
+            after += now
+            h = after
         some = np.flatnonzero(live.reshape(-1))
-        ll, dh_some, g = self.output(states.reshape(-1, d)[some], ids_out.reshape(-1)[some], True)
-        dh_all = np.zeros((steps * lanes, d), kind)
-        dh_all[some] = dh_some
-        dh_all = dh_all.reshape(steps, lanes, d)
-        r, z = rz[:, :, :d], rz[:, :, d:]
-        to_m = (1 - z) * (1 - m * m)
-        to_z = (before - m) * z * (1 - z)
-        to_r = rh * (1 - r)
-        dx = np.empty((steps, lanes, 3 * d), kind)
-        carry, drh, gates_t, new_t = np.zeros((lanes, d), kind), np.empty((lanes, d), kind), np.ascontiguousarray(gates.T), np.ascontiguousarray(new.T)
-        for t in range(steps - 1, -1, -1):
-            dh, own = dh_all[t], dx[t]
+        scale = kind.type(1 / max(len(some), 1))
+        if len(some) == steps * lanes:
+            ll, dh_all, g = self.output(states.reshape(-1, d), ids_out.reshape(-1), scale)
+        else:
+            ll, dh_some, g = self.output(states.reshape(-1, d)[some], ids_out.reshape(-1)[some], scale)
+            dh_all = np.zeros((steps * lanes, d), kind)
+            dh_all[some] = dh_some
+        r, z = rz[:, 0], rz[:, 1]
+        rest = 1 - z
+        to_m = m * m
+        np.subtract(1, to_m, out=to_m)
+        to_m *= rest
+        to_z = before - m
+        to_z *= z
+        to_z *= rest
+        to_r = 1 - r
+        to_r *= rh
+        dx = np.empty((steps, 3, lanes, d), kind)
+        carry, drh, two = np.zeros((lanes, d), kind), np.empty((lanes, d), kind), np.empty((2, lanes, d), kind)
+        gates_t, new_t = np.ascontiguousarray(half.transpose(0, 2, 1)) * kind.type(2), np.ascontiguousarray(new.T)
+        for t, dh, own, m_, z_, r_, g_ in zip(range(steps - 1, -1, -1), dh_all.reshape(steps, lanes, d)[::-1], dx[::-1], to_m[::-1], to_z[::-1], to_r[::-1], rz[::-1]):
             dh += carry
-            np.multiply(dh, to_m[t], out=own[:, 2 * d :])
-            np.multiply(dh, to_z[t], out=own[:, d : 2 * d])
-            np.matmul(own[:, 2 * d :], new_t, out=drh)
-            np.multiply(drh, to_r[t], out=own[:, :d])
-            np.matmul(own[:, : 2 * d], gates_t, out=carry)
-            dh *= z[t]
-            carry += dh
-            drh *= r[t]
+            to_new = own[2]
+            np.multiply(dh, m_, out=to_new)
+            np.multiply(dh, z_, out=own[1])
+            np.dot(to_new, new_t, drh)
+            np.multiply(drh, r_, out=own[0])
+            np.matmul(own[:2], gates_t, out=two)
+            np.multiply(dh, g_[1], out=carry)
+            carry += two[0]
+            carry += two[1]
+            drh *= g_[0]
             carry += drh
-            carry *= fresh[t]
-        flat_x = dx.reshape(-1, 3 * d)
-        g["U"] = np.concatenate([before.reshape(-1, d).T @ flat_x[:, : 2 * d], rh.reshape(-1, d).T @ flat_x[:, 2 * d :]], 1)
-        order = np.argsort(back, kind="stable")
-        by_word = np.add.reduceat(flat_x[order], np.searchsorted(back[order], np.arange(len(used))), axis=0)
+            if begins[t]:
+                carry *= fresh[t]
+        of_before = before.reshape(-1, d).T
+        g["U"] = np.concatenate([of_before @ dx[:, 0].reshape(-1, d), of_before @ dx[:, 1].reshape(-1, d), rh.reshape(-1, d).T @ dx[:, 2].reshape(-1, d)], 1)
+        by_word = self._sums(dx, back, counts)
         g["b"] = by_word.sum(0)
         g["W"] = embedded.T @ by_word
         to_e = by_word @ p["W"].T
-        scale = np.float32(1 / max(len(some), 1))
         for k, v in g.items():
-            _adagrad(p[k], v, squares[k], scale, rate)
+            _adagrad(p[k], v, squares[k], rate, k in "UbW")  # states are within -1 and 1, so are the others' means
         rows, more = p["E"][used], squares["E"][used]
-        _adagrad(rows, to_e, more, scale, rate)
+        _adagrad(rows, to_e, more, rate, True)
         p["E"][used], squares["E"][used] = rows, more
         return float(ll.sum()), h
 
+    def _sums(self, dx: np.ndarray, back: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sums of the gates' gradients by word. ``back``: each place's word; ``counts``: how often words are there, falling.
+
+        The n-th places of all words that have so many are added at once; only of what is beyond ``_RANKS`` each word's
+        places are added by themselves."""
+        _, _, lanes, d = dx.shape
+        small = np.uint16 if len(back) < 1 << 16 else np.int64  # few bits are sorted by their digits
+        order = np.argsort(back.astype(small), kind="stable")
+        rank = np.arange(len(back)) - np.repeat(np.cumsum(counts) - counts, counts)
+        order = order[np.argsort(np.minimum(rank, _RANKS).astype(small), kind="stable")]
+        rows = (order + order // lanes * (2 * lanes))[:, None] + np.arange(3) * lanes
+        by_place = dx.reshape(-1, d).take(rows, axis=0).reshape(-1, 3 * d)
+        have = np.searchsorted(-counts, -np.arange(_RANKS + 1)).tolist()  # words of more places than 0, 1, ...
+        at = have[0]
+        out = by_place[:at]
+        for n in have[1:_RANKS]:
+            out[:n] += by_place[at : at + n]
+            at += n
+        for k, n in enumerate((counts[: have[_RANKS]] - _RANKS).tolist()):
+            out[k] += by_place[at : at + n].sum(0)
+            at += n
+        return out
+
 
 def lanes_of(sizes: np.ndarray, count: int) -> list[list[int]]:
     """Documents (each of so many steps) on lanes of about equal length, the longest lane first."""
@@ -337,6 +419,8 @@ class Lanes:
     def window(self, t: int, end: int):
         """(inputs, outputs, starts, documents) of some steps, as matrices; places without a document have -1."""
         width = int(self.active[t])
+        if self.active[end - 1] == width:
+            return [values[self.base[t] : self.base[end]].reshape(-1, width) for values in (self.ins, self.outs, self.start, self.doc)]
         live = np.arange(width) < self.active[t:end, None]
         out = []
         for values, empty in ((self.ins, _END), (self.outs, _END), (self.start, False), (self.doc, -1)):
@@ -404,21 +488,36 @@ def train_on(model: Gru, ids: np.ndarray, begin: np.ndarray, squares: dict, rate
 def score(model: Gru, ids: np.ndarray, begin: np.ndarray, lanes: int = 256, window: int = 64) -> np.ndarray:
     """Log-likelihoods of documents of word ids, their ends included."""
     rows = laid_out(ids, begin, lanes)
-    table = model.p["E"] @ model.p["W"] + model.p["b"]
-    d = model.hidden
+    d, p = model.hidden, model.p
+    kind = p["U"].dtype
+    table = p["E"] @ p["W"] + p["b"]
+    half, new = model.halved(table)
+    table = table.reshape(-1, d)
     out = np.zeros(len(begin) - 1)
-    h = np.zeros((int(rows.active.max(initial=0)), d), np.float32)
+    h = np.zeros((int(rows.active.max(initial=0)), d), kind)
     for t in range(0, len(rows.active), window):
         end = min(t + window, len(rows.active))
         part = slice(rows.base[t], rows.base[end])
-        states = np.empty((part.stop - part.start, d), np.float32)
+        states = np.empty((part.stop - part.start, d), kind)
+        places = 3 * rows.ins[part] + np.arange(3)[:, None]
         for k in range(t, end):
             at = slice(rows.base[k], rows.base[k + 1])
-            n = int(rows.active[k])
-            now = h[:n]
+            own = slice(at.start - part.start, at.stop - part.start)
+            now = h[: int(rows.active[k])]
             now[rows.start[at]] = 0
-            h[:n], *_ = model.step(table[rows.ins[at]], now)
-            states[at.start - part.start : at.stop - part.start] = h[:n]
+            x = table.take(places[:, own], axis=0)
+            g = np.matmul(now, half)
+            g += x[:2]
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            m = np.dot(g[0] * now, new)
+            m += x[2]
+            np.tanh(m, out=m)
+            now -= m
+            now *= g[1]
+            now += m
+            states[own] = now
         out += np.bincount(rows.doc[part], model.output(states, rows.outs[part]), len(out))
     return out
 
@@ -450,6 +549,7 @@ def train(texts: DataFrame, lex: Lexicon, share: int = SHARE, rounds: int = ROUN
         rate = RATE / (1 + k)
 
         @vec.tidy
+        @_steady
         def run(batches):
             base, lex_ = shared.value
             own = Gru(lex_.frequency)
@@ -485,6 +585,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast((model, lex))
 
     @vec.tidy
+    @_steady
     def run(batches):
         model_, lex_ = shared.value
         for batch in batches:

@@ -49,3 +49,55 @@ def test_a_very_long_text_takes_its_own_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6
+
+
+def test_sums_by_word_equal_adding_place_by_place():
+    """A word of very many places, some of a few and many of one, as in a window of a real text."""
+    rng = np.random.default_rng(4)
+    for steps, lanes, d, words in ((24, 64, 8, 500), (5, 3, 3, 4), (1, 1, 2, 1)):
+        back = (words * rng.random(steps * lanes) ** 6).astype(np.int64)
+        used, counts = np.unique(back, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        to = np.empty(len(used), np.int64)
+        to[order] = np.arange(len(used))
+        back, counts = to[np.searchsorted(used, back)], counts[order]
+        dx = rng.standard_normal((steps, 3, lanes, d))
+        want = np.zeros((len(used), 3 * d))
+        np.add.at(want, back, dx.transpose(0, 2, 1, 3).reshape(-1, 3 * d))
+        assert np.allclose(grulm.Gru(np.ones(2), 1, d, 2)._sums(dx, back, counts), want)
+
+
+def test_training_keeps_its_memory():
+    """The arrays of a window are not paged in again by the next one."""
+    import resource
+
+    faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    rng = np.random.default_rng(5)
+    sizes = np.full(64, 24 * 40 - 1)
+    ids, begin = rng.integers(2, 4096, sizes.sum()).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
+    m = grulm.Gru(np.arange(4096, 0, -1).astype(float))
+    squares = {k: np.full_like(v, 1e-4) for k, v in m.p.items()}
+
+    @grulm._steady
+    def run(batches):
+        for _ in batches:
+            before = faults()
+            grulm.train_on(m, ids, begin, squares)
+            yield (faults() - before) / 40
+
+    assert list(run(range(2)))[1] < 150
+
+
+def test_ids_of_hashes_that_begin_alike():
+    h = np.sort(np.array([1, 2, 3, (1 << 48) + 5, (7 << 48) + 1, (7 << 48) + 2, (1 << 64) - 1], np.uint64))
+    lex = grulm.Lexicon(h, np.arange(2, 9, dtype=np.int32), np.zeros(257), np.ones(9))
+    asked = np.concatenate([h, h - np.uint64(1), h + np.uint64(1)])
+    want = [int(np.flatnonzero(h == x)[0]) + 2 if x in h else grulm._UNKNOWN for x in asked]
+    assert lex.encode(asked).tolist() == want
+
+
+def test_likelihoods_of_very_large_logits_are_finite():
+    a = np.array([[0, 1, 2], [500, -500, 3], [-900, -901, -902]], np.float32)
+    got = grulm._log_softmax(a.copy(), np.array([2, 1, 0]), False)
+    wide = a.astype(float) - a.max(1, keepdims=True)
+    assert np.allclose(got, (wide - np.log(np.exp(wide).sum(1, keepdims=True)))[[0, 1, 2], [2, 1, 0]], rtol=1e-5)
