@@ -27,6 +27,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +53,9 @@ _BLOCK = 1 << 14
 _FAN = 256
 _RANKS = 16
 _PIECE = 1 << 14
+_PADDING = 48
+_ROWS = 128
+_PACKED = 1 << 16
 
 
 def tokens(column: pa.Array):
@@ -155,18 +159,51 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _log_softmax(a: np.ndarray, chosen: np.ndarray, grad: bool) -> np.ndarray:
-    """Log-probabilities of the chosen columns of logits ``a``; with ``grad``, ``a`` becomes the gradient of their sum."""
-    rows = np.arange(len(a))
+def _aligned(*shape: int, kind) -> np.ndarray:
+    """Room that begins where the processor's widest loads do."""
+    kind = np.dtype(kind)
+    size = math.prod(shape) * kind.itemsize
+    room = np.empty(size + 64, np.uint8)
+    at = -room.ctypes.data % 64
+    return room[at : at + size].view(kind).reshape(shape)
+
+
+def _by_rows(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``a @ b``, so many rows at once that the library multiplies them in place, without copies in an order of its own."""
+    n = len(a) // _ROWS * _ROWS
+    if n:
+        np.matmul(a[:n].reshape(-1, _ROWS, a.shape[1]), b, out=out[:n].reshape(-1, _ROWS, b.shape[1]))
+    if n < len(a):
+        np.dot(a[n:], b, out[n:])
+    return out
+
+
+def _crossed(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
+    """``a.T @ b``, in the same way."""
+    n = len(a) // _ROWS * _ROWS
+    if n:
+        np.matmul(a[:n].reshape(-1, _ROWS, a.shape[1]).transpose(0, 2, 1), b[:n].reshape(-1, _ROWS, b.shape[1])).sum(0, out=out)
+        if n < len(a):
+            out += a[n:].T @ b[n:]
+    else:
+        np.dot(a.T, b, out)
+
+
+def _log_softmax(a: np.ndarray, chosen: np.ndarray, scale: float) -> np.ndarray:
+    """Log-probabilities of the chosen columns of logits ``a``; with ``scale``, ``a`` becomes the gradient of their sum, scaled."""
+    own = np.arange(0, a.size, a.shape[1])
+    own += chosen
     if not (a.size and -60 < a.min() and a.max() < 60):  # else their exponentials are in range as they are
         a -= a.max(1, keepdims=True)
-    ll = a[rows, chosen]
+    flat = a.reshape(-1)
+    ll = flat.take(own)
     np.exp(a, out=a)
     total = a @ np.ones(a.shape[1], a.dtype)
-    if grad:
-        a *= (-1 / total)[:, None]
-        a[rows, chosen] += 1
-    return ll - np.log(total)
+    if scale:
+        a *= (-scale / total)[:, None]
+        flat[own] += scale
+    ll -= np.log(total)
+    return ll
 
 
 def _adagrad(p: np.ndarray, g: np.ndarray, squares: np.ndarray, rate: float, clip: bool) -> None:
@@ -199,6 +236,9 @@ class Gru:
         order = np.argsort(-frequency, kind="stable")
         self.place = np.empty(v, np.int64)
         self.place[order] = np.arange(v)  # id -> place by frequency: class = place // width
+        self.class_of = (self.place // self.width).astype(np.uint16)  # few bits are sorted by their digits
+        self.word_of = self.place % self.width
+        self.held = None  # what hold() gives, with the arrays it is for
         f = np.zeros(classes * self.width)
         f[: len(order)] = frequency[order] + 0.5
         f = f.reshape(classes, self.width)
@@ -240,49 +280,95 @@ class Gru:
         table[:, : 2 * d] *= 0.5
         return np.ascontiguousarray(u[:, : 2 * d].reshape(d, 2, d).transpose(1, 0, 2)) * u.dtype.type(0.5), np.ascontiguousarray(u[:, 2 * d :])
 
-    def output(self, h: np.ndarray, ids: np.ndarray, scale: float = 0):
+    def views(self, flat: np.ndarray):
+        """Parts of an array of all parameters but the embeddings: U, W and b, then C over c, then each class's O over its o."""
+        d, e = self.hidden, self.p["E"].shape[1]
+        shapes = ((d, 3 * d), (e, 3 * d), (3 * d,), (d + 1, self.classes), (self.classes, d + 1, self.width))
+        ends = np.cumsum([np.prod(n) for n in shapes]).tolist()
+        return [flat[end - int(np.prod(n)) : end].reshape(n) for end, n in zip(ends, shapes)]
+
+    def hold(self, squares: dict):
+        """Puts all parameters but the embeddings, and their squares, into one array each, so that a window updates them at
+        once: (parameters, squares, room for gradients, views of the room, top, words)."""
+        if self.held is None or any(self.p[k] is not v or squares[k] is not w for k, v, w in self.held[0]):
+            p = self.p
+            size = sum(v.size for k, v in p.items() if k != "E")
+            both, tops = [], None
+            for of in (p, squares):
+                flat = np.empty(size, p["U"].dtype)
+                u, w, b, top, words = self.views(flat)
+                named = {"U": u, "W": w, "b": b, "C": top[:-1], "c": top[-1], "O": words[:, :-1], "o": words[:, -1]}
+                for k, v in named.items():
+                    v[...] = of[k]
+                of.update(named)
+                both.append(flat)
+                tops = tops or (top, words)
+            grads = np.empty(size, p["U"].dtype)
+            self.held = [(k, p[k], squares[k]) for k in self.SHAPES if k != "E"], (*both, grads, self.views(grads), *tops)
+        return self.held[1]
+
+    def output(self, h: np.ndarray, ids: np.ndarray, scale: float = 0, layer=None, into=None):
         """Log-probabilities of words after states, and with ``scale`` the gradients of their sum, scaled.
 
-        Rows are taken in the order of classes, so that each class's words need one product, and the rest is done for
-        all rows at once. A last column of ones takes the biases along."""
-        place, d = self.place[ids], self.hidden
-        cls = (place // self.width).astype(np.uint16)  # few bits are sorted by their digits
+        Rows are taken in the order of classes. Neighbouring classes of about as many rows are padded with rows of zeros to
+        equal numbers, so that one call serves them all. A last column of ones takes the biases along. ``layer``: C over
+        c, and each class's O over its o, where they are at hand; ``into``: where the gradients of both go."""
+        n, d, p = len(ids), self.hidden, self.p
+        top, words = layer or (np.concatenate([p["C"], p["c"][None]]), np.concatenate([p["O"], p["o"][:, None]], 1))
+        cls = self.class_of.take(ids)
         order = np.argsort(cls, kind="stable")
-        own = np.empty((len(ids), d + 1), h.dtype)
-        own[:, :d], own[:, d] = h[order], 1
-        cls = cls[order]
-        word = place[order] - cls * np.int64(self.width)
-        cut = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
-        parts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-        a = own @ np.concatenate([self.p["C"], self.p["c"][None]])
-        ll = _log_softmax(a, cls, bool(scale))
-        q = np.empty((len(ids), self.width), a.dtype)
-        both = np.concatenate([self.p["O"], self.p["o"][:, None]], 1)
-        for k, part in parts:
-            np.dot(own[part], both[k], q[part])
-        ll += _log_softmax(q, word, bool(scale))
-        back = np.empty_like(ll)
-        back[order] = ll
+        count = np.bincount(cls, minlength=self.classes)
+        parts, each = _alike(count.tolist())
+        to = np.repeat(np.cumsum(each) - each - np.cumsum(count) + count, count)
+        to += np.arange(n)
+        at = np.empty(n, np.intp)
+        at[order] = to
+        source = np.full(int(each.sum()), n)
+        source[to] = order
+        word = np.zeros(len(source), np.intp)
+        word[at] = self.word_of.take(ids)
+        own = _aligned(n + 1, d + 1, kind=h.dtype)
+        own[:n, :d], own[:n, d], own[n] = h, 1, 0
+        kind = np.result_type(h, top)
+        a = _by_rows(own[:n], top, _aligned(n, self.classes, kind=kind))
+        q = _aligned(len(source), self.width, kind=kind)
+        padded = own.take(source, axis=0)
+        for k, rows in parts:
+            if k.stop - k.start == 1:
+                _by_rows(padded[rows], words[k.start], q[rows])
+            else:
+                np.matmul(padded[rows].reshape(k.stop - k.start, -1, d + 1), words[k], out=q[rows].reshape(k.stop - k.start, -1, self.width))
+        ll = _log_softmax(a, cls, scale)
+        ll += _log_softmax(q, word, scale).take(at)
         if not scale:
-            return back
-        own *= scale
-        top, words = own.T @ a, np.zeros((self.classes, d + 1, self.width), a.dtype)
-        dh, more = a @ self.p["C"].T, np.empty((len(ids), d), a.dtype)
-        for k, part in parts:
-            np.dot(own[part].T, q[part], words[k])
-            np.dot(q[part], self.p["O"][k].T, more[part])
-        dh += more
-        dh *= scale
-        out = np.empty_like(dh)
-        out[order] = dh
-        return back, out, {"C": top[:-1], "c": top[-1], "O": words[:, :-1], "o": words[:, -1]}
+            return ll
+        to_top, to_words = into
+        _crossed(own[:n], a, to_top)
+        more = _aligned(len(source), d, kind=kind)
+        back = words[:, :-1].transpose(0, 2, 1)
+        to_words[count == 0] = 0
+        for k, rows in parts:
+            if k.stop - k.start == 1:
+                _crossed(padded[rows], q[rows], to_words[k.start])
+                _by_rows(q[rows], np.ascontiguousarray(back[k.start]), more[rows])
+            else:
+                x, y = (v[rows].reshape(k.stop - k.start, -1, v.shape[1]) for v in (padded, q))
+                np.matmul(x.transpose(0, 2, 1), y, out=to_words[k])
+                np.matmul(y, back[k], out=more[rows].reshape(*y.shape[:2], d))
+        dh = _by_rows(a, np.ascontiguousarray(top[:-1].T), _aligned(n, d, kind=kind))
+        dh += more.take(at, axis=0)
+        return ll, dh
 
     def window(self, ids_in, ids_out, fresh, live, h, squares, rate):
         """One window of truncated backpropagation with Adagrad: (log-likelihood, state after it).
 
-        Reset gate, update gate and new state are parts of their own in all arrays, so that each is in one piece."""
+        Reset gate, update gate and new state are parts of their own in all arrays, so that each is in one piece. ``parts``
+        has five for each step: first, in the way forward, the gates (1, 2), the old state less the new one (3), and that (4);
+        then what the gradients are multiplied with; then the gradients of the reset gate (0), the update gate (3) and the
+        new state (4), and what goes on to the step before (1, 2)."""
         d, (steps, lanes), p = self.hidden, ids_in.shape, self.p
-        kind = p["U"].dtype
+        flat, flat_squares, grads, (to_u, to_w, to_b, to_top, to_words), top, words = self.hold(squares)
+        kind = flat.dtype
         flat_in = ids_in.reshape(-1)
         counts = np.bincount(flat_in, minlength=len(p["E"]))
         used = np.flatnonzero(counts)
@@ -291,92 +377,106 @@ class Gru:
         back = np.empty(len(p["E"]), np.intp)
         back[used] = np.arange(len(used))
         back = back[flat_in]
-        embedded = p["E"][used]
-        table = embedded @ p["W"] + p["b"]
+        embedded = p["E"].take(used, axis=0)
+        table = _by_rows(embedded, p["W"], _aligned(len(used), 3 * d, kind=kind))
+        table += p["b"]
         half, new = self.halved(table)
-        x = table.reshape(-1, d).take(3 * back.reshape(steps, 1, lanes) + np.arange(3)[:, None], axis=0)
-        begins, fresh = (fresh == 0).any(1).tolist(), fresh.astype(kind)[:, :, None]
-        before, m, states, rh = (np.empty((steps, lanes, d), kind) for _ in range(4))
-        rz, own = np.empty((steps, 2, lanes, d), kind), np.empty((lanes, d), kind)
-        for b, g, c, now, after, x_, f, some in zip(before, rz, rh, m, states, x, fresh, begins):
-            if some:
-                np.multiply(h, f, out=b)
-            else:
-                b[...] = h
+        table = table.reshape(-1, d)
+        places = 3 * back.reshape(steps, 1, lanes) + np.arange(3)[:, None]
+        begins = [np.flatnonzero(f) if some else None for f, some in zip(fresh == 0, (fresh == 0).any(1).tolist())]
+        states, rh, parts = _aligned(steps + 1, lanes, d, kind=kind), _aligned(steps, lanes, d, kind=kind), _aligned(steps, 5, lanes, d, kind=kind)
+        states[0] = h
+        own, x, one_half, ended = _aligned(lanes, d, kind=kind), _aligned(3, lanes, d, kind=kind), np.array(0.5, kind), []
+        x_gates, x_new = x[:2], x[2]
+        for t, (b, after, at, g, r, z, less, m, c, rows) in enumerate(
+            zip(states, states[1:], places, parts[:, 1:3], parts[:, 1], parts[:, 2], parts[:, 3], parts[:, 4], rh, begins)
+        ):
+            if rows is not None:
+                ended.append((t, rows, b[rows]))
+                b[rows] = 0
+            table.take(at, axis=0, out=x, mode="clip")
             np.matmul(b, half, out=g)
-            g += x_[:2]
+            g += x_gates
             np.tanh(g, out=g)
-            g *= 0.5
-            g += 0.5
-            np.multiply(g[0], b, out=c)
+            g *= one_half
+            g += one_half
+            np.multiply(r, b, out=c)
             np.dot(c, new, own)
-            own += x_[2]
-            np.tanh(own, out=now)
-            np.subtract(b, now, out=after)
-            after *= g[1]
-            after += now
-            h = after
+            own += x_new
+            np.tanh(own, out=m)
+            np.subtract(b, m, out=less)
+            np.multiply(less, z, out=after)
+            after += m
         some = np.flatnonzero(live.reshape(-1))
         scale = kind.type(1 / max(len(some), 1))
+        for t, rows, old in ended:
+            states[t, rows] = old
+        outputs = states[1:].reshape(-1, d)
         if len(some) == steps * lanes:
-            ll, dh_all, g = self.output(states.reshape(-1, d), ids_out.reshape(-1), scale)
+            ll, dh_all = self.output(outputs, ids_out.reshape(-1), scale, (top, words), (to_top, to_words))
         else:
-            ll, dh_some, g = self.output(states.reshape(-1, d)[some], ids_out.reshape(-1)[some], scale)
+            ll, dh_some = self.output(outputs[some], ids_out.reshape(-1)[some], scale, (top, words), (to_top, to_words))
             dh_all = np.zeros((steps * lanes, d), kind)
             dh_all[some] = dh_some
-        r, z = rz[:, 0], rz[:, 1]
+        for t, rows, _ in ended:
+            states[t, rows] = 0
+        to_r, r, z, to_z, to_m = (parts[:, k] for k in range(5))
         rest = 1 - z
-        to_m = m * m
-        np.subtract(1, to_m, out=to_m)
-        to_m *= rest
-        to_z = before - m
+        np.subtract(1, r, out=to_r)
+        to_r *= rh
         to_z *= z
         to_z *= rest
-        to_r = 1 - r
-        to_r *= rh
-        dx = np.empty((steps, 3, lanes, d), kind)
-        carry, drh, two = np.zeros((lanes, d), kind), np.empty((lanes, d), kind), np.empty((2, lanes, d), kind)
+        to_m *= to_m
+        np.subtract(1, to_m, out=to_m)
+        to_m *= rest
+        carry, drh, two = (_aligned(*n, lanes, d, kind=kind) for n in ((), (), (2,)))
+        carry[...] = 0
+        two_r, two_z = two
         gates_t, new_t = np.ascontiguousarray(half.transpose(0, 2, 1)) * kind.type(2), np.ascontiguousarray(new.T)
-        for t, dh, own, m_, z_, r_, g_ in zip(range(steps - 1, -1, -1), dh_all.reshape(steps, lanes, d)[::-1], dx[::-1], to_m[::-1], to_z[::-1], to_r[::-1], rz[::-1]):
+        gone = parts[::-1]
+        for dh, of_state, of_reset, to_new, gates, on_r, on_z, rows in zip(
+            dh_all.reshape(steps, lanes, d)[::-1], gone[:, 2:], gone[:, :2], gone[:, 4], gone[:, :4:3], gone[:, 1], gone[:, 2], begins[::-1]
+        ):
             dh += carry
-            to_new = own[2]
-            np.multiply(dh, m_, out=to_new)
-            np.multiply(dh, z_, out=own[1])
+            of_state *= dh
             np.dot(to_new, new_t, drh)
-            np.multiply(drh, r_, out=own[0])
-            np.matmul(own[:2], gates_t, out=two)
-            np.multiply(dh, g_[1], out=carry)
-            carry += two[0]
-            carry += two[1]
-            drh *= g_[0]
-            carry += drh
-            if begins[t]:
-                carry *= fresh[t]
-        of_before = before.reshape(-1, d).T
-        g["U"] = np.concatenate([of_before @ dx[:, 0].reshape(-1, d), of_before @ dx[:, 1].reshape(-1, d), rh.reshape(-1, d).T @ dx[:, 2].reshape(-1, d)], 1)
-        by_word = self._sums(dx, back, counts)
-        g["b"] = by_word.sum(0)
-        g["W"] = embedded.T @ by_word
-        to_e = by_word @ p["W"].T
-        for k, v in g.items():
-            _adagrad(p[k], v, squares[k], rate, k in "UbW")  # states are within -1 and 1, so are the others' means
-        rows, more = p["E"][used], squares["E"][used]
-        _adagrad(rows, to_e, more, rate, True)
-        p["E"][used], squares["E"][used] = rows, more
-        return float(ll.sum()), h
+            of_reset *= drh
+            np.matmul(gates, gates_t, out=two)
+            np.add(on_r, on_z, out=carry)
+            carry += two_r
+            carry += two_z
+            if rows is not None:
+                carry[rows] = 0
+        order = self._ranked(back, counts)
+        rows = (order + order // lanes * (4 * lanes))[:, None] + np.array([0, 3, 4]) * lanes
+        by_place = parts.reshape(-1, d).take(rows, axis=0).reshape(-1, 3 * d)
+        np.matmul(states[:-1, None].transpose(0, 1, 3, 2), parts[:, :4:3]).sum(0, out=to_u.reshape(d, 3, d).transpose(1, 0, 2)[:2])
+        np.matmul(rh.transpose(0, 2, 1), parts[:, 4]).sum(0, out=to_u[:, 2 * d :])
+        by_word = self._added(by_place, counts)
+        by_word.sum(0, out=to_b)
+        _crossed(embedded, by_word, to_w)
+        to_e = _by_rows(by_word, np.ascontiguousarray(p["W"].T), np.empty_like(embedded))
+        clipped = to_u.size + to_w.size + to_b.size
+        np.clip(grads[:clipped], -1, 1, out=grads[:clipped])  # states are within -1 and 1, so are the others' means
+        _adagrad(flat, grads, flat_squares, rate, False)
+        more = squares["E"].take(used, axis=0)
+        _adagrad(embedded, to_e, more, rate, True)
+        p["E"][used], squares["E"][used] = embedded, more
+        return float(ll.sum()), states[-1]
+
+    def _ranked(self, back: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Places in the order of how often their word was there before, and of words. ``back``: each place's word; ``counts``:
+        how often words are there, falling. Beyond ``_RANKS`` each word's places are together."""
+        small = np.uint16 if len(back) < 1 << 16 else np.int64  # few bits are sorted by their digits
+        order = np.argsort(back.astype(small), kind="stable")
+        rank = np.arange(len(back)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return order[np.argsort(np.minimum(rank, _RANKS).astype(small), kind="stable")]
 
-    def _sums(self, dx: np.ndarray, back: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Sums of the gates' gradients by word. ``back``: each place's word; ``counts``: how often words are there, falling.
+    def _added(self, by_place: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sums by word of rows in the order of ``_ranked``.
 
         The n-th places of all words that have so many are added at once; only of what is beyond ``_RANKS`` each word's
         places are added by themselves."""
-        _, _, lanes, d = dx.shape
-        small = np.uint16 if len(back) < 1 << 16 else np.int64  # few bits are sorted by their digits
-        order = np.argsort(back.astype(small), kind="stable")
-        rank = np.arange(len(back)) - np.repeat(np.cumsum(counts) - counts, counts)
-        order = order[np.argsort(np.minimum(rank, _RANKS).astype(small), kind="stable")]
-        rows = (order + order // lanes * (2 * lanes))[:, None] + np.arange(3) * lanes
-        by_place = dx.reshape(-1, d).take(rows, axis=0).reshape(-1, 3 * d)
         have = np.searchsorted(-counts, -np.arange(_RANKS + 1)).tolist()  # words of more places than 0, 1, ...
         at = have[0]
         out = by_place[:at]
@@ -388,6 +488,31 @@ class Gru:
             at += n
         return out
 
+    def _sums(self, dx: np.ndarray, back: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sums of the gates' gradients by word."""
+        _, _, lanes, d = dx.shape
+        order = self._ranked(back, counts)
+        rows = (order + order // lanes * (2 * lanes))[:, None] + np.arange(3) * lanes
+        return self._added(dx.reshape(-1, d).take(rows, axis=0).reshape(-1, 3 * d), counts)
+
+
+def _alike(count: list[int]) -> tuple[list[tuple[slice, slice]], np.ndarray]:
+    """Runs of neighbouring classes, each with its slice of rows, and the rows of each class: as many as its run's largest
+    has. Padding is at most a quarter of a run's rows, and ``_PADDING``; runs without rows are left out."""
+    parts, each, row = [], [], 0
+    first = most = total = 0
+    for k, n in enumerate([*count, -1]):
+        more = max(most, n)
+        if n < 0 or more * (k - first + 1) - total - n > _PADDING + (total + n) // 4:
+            if most:
+                parts.append((slice(first, k), slice(row, row + most * (k - first))))
+                row += most * (k - first)
+            each += [most] * (k - first)
+            first, most, total = k, n, n
+        else:
+            most, total = more, total + n
+    return parts, np.array(each)
+
 
 def lanes_of(sizes: np.ndarray, count: int) -> list[list[int]]:
     """Documents (each of so many steps) on lanes of about equal length, the longest lane first."""
@@ -438,20 +563,30 @@ def laid_out(ids: np.ndarray, begin: np.ndarray, count: int) -> Lanes:
     active = np.searchsorted(-length, -np.arange(steps), "left")
     base = np.concatenate([[0], np.cumsum(active)])
     total = int(base[-1])
-    ins, outs = np.full(total, _END, np.int32), np.full(total, _END, np.int32)
-    start, doc = np.zeros(total, bool), np.empty(total, np.int32)
-    for k, lane in enumerate(lanes):
-        at = base[: length[k]] + k
+    where = np.cumsum(length) - length  # each lane in one piece first, and then so many steps of all lanes at once
+    words, docs, ends = np.full(total, _END, np.int32), np.empty(total, np.int32), np.zeros(total, bool)
+    for a, n, lane in zip(where.tolist(), length.tolist(), lanes):
         own = np.array(lane, np.int64)
-        first = np.cumsum(sizes[own]) - sizes[own]
-        which = np.repeat(np.arange(len(own)), sizes[own])
-        step = np.arange(length[k]) - first[which]
-        start[at[first]] = True
-        doc[at] = own[which]
-        word = ids[np.minimum(begin[own[which]] + step, max(len(ids) - 1, 0))] if len(ids) else np.full(length[k], _END, np.int32)
-        last = step == sizes[own[which]] - 1
-        outs[at] = np.where(last, _END, word)
-        ins[at[1:]] = np.where(last, _END, word)[:-1]
+        size = sizes[own]
+        last = np.cumsum(size) - 1
+        which = np.repeat(own, size)
+        docs[a : a + n] = which
+        ends[a : a + n][last] = True
+        if len(ids):
+            at = np.arange(n)
+            at += np.repeat(begin[own] - last - 1 + size, size)
+            at[last] = 0
+            words[a : a + n] = ids[at]
+            words[a : a + n][last] = _END
+    ins, outs, start, doc = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, bool), np.empty(total, np.int32)
+    most = max(1, _PACKED // max(1, len(lanes)))
+    for t in range(0, steps, most):
+        now = active[t : t + most]
+        at = (where[: now[0]] + np.arange(t, t + len(now))[:, None])[np.arange(now[0]) < now[:, None]]
+        part = slice(base[t], base[t] + len(at))
+        outs[part], doc[part] = words.take(at), docs.take(at)
+        at -= 1  # a lane's first step follows the end of the lane before
+        ins[part], start[part] = words.take(at, mode="wrap"), ends.take(at, mode="wrap")
     return Lanes(active, base, ins, outs, start, doc)
 
 

@@ -101,3 +101,59 @@ def test_likelihoods_of_very_large_logits_are_finite():
     got = grulm._log_softmax(a.copy(), np.array([2, 1, 0]), False)
     wide = a.astype(float) - a.max(1, keepdims=True)
     assert np.allclose(got, (wide - np.log(np.exp(wide).sum(1, keepdims=True)))[[0, 1, 2], [2, 1, 0]], rtol=1e-5)
+
+
+def test_output_layer_equals_plain_softmax_with_few_products(monkeypatch):
+    """Classes of many rows, of few and of none; a product or more for each class would be over 190."""
+    rng = np.random.default_rng(6)
+    products = []
+    for name in ("dot", "matmul"):
+        usual = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda *a, usual=usual, **k: (products.append(1), usual(*a, **k))[1])
+    for rows, words in ((1536, 4096), (1536, 3), (300, 4000), (2, 4096)):
+        m = grulm.Gru(np.arange(4096, 0, -1).astype(float), seed=7)
+        m.p = {k: v.astype(float) + 0.1 * rng.standard_normal(v.shape) for k, v in m.p.items()}
+        d, h, ids = m.hidden, rng.standard_normal((rows, m.hidden)), (words * rng.random(rows) ** 4).astype(np.int64)
+        to_top, to_words = np.full((d + 1, m.classes), np.nan), np.full((m.classes, d + 1, m.width), np.nan)
+        products.clear()
+        ll, dh = m.output(h, ids, 0.5, None, (to_top, to_words))
+        assert len(products) < 100
+        cls, word = np.divmod(m.place[ids], m.width)
+        one = np.arange(rows)
+        a, q = h @ m.p["C"] + m.p["c"], np.einsum("nd,ndw->nw", h, m.p["O"][cls]) + m.p["o"][cls]
+        a, q = (x - np.log(np.exp(x).sum(1, keepdims=True)) for x in (a, q))
+        assert np.allclose(ll, a[one, cls] + q[one, word]) and np.allclose(m.output(h, ids), ll)
+        ga, gq = -np.exp(a), -np.exp(q)
+        ga[one, cls] += 1
+        gq[one, word] += 1
+        ga, gq = ga / 2, gq / 2
+        want = np.zeros_like(to_words)
+        np.add.at(want, cls, np.einsum("nd,nw->ndw", np.column_stack([h, np.ones(rows)]), gq))
+        assert np.allclose(to_words, want) and np.allclose(to_top, np.column_stack([h, np.ones(rows)]).T @ ga)
+        assert np.allclose(dh, ga @ m.p["C"].T + np.einsum("nw,ndw->nd", gq, m.p["O"][cls]))
+
+
+def test_runs_of_classes_are_padded_a_little():
+    rng = np.random.default_rng(7)
+    for count in ([0] * 5, [900, 0, 3, 0], (1500 * rng.dirichlet(np.full(64, 0.1))).astype(int).tolist(), [0] * 40 + [1536] + [0] * 23):
+        parts, each = grulm._alike(count)
+        assert len(each) == len(count) and (each >= count).all()
+        assert [r.stop - r.start for _, r in parts] == [each[k].sum() for k, _ in parts] and sum(each) == (parts[-1][1].stop if parts else 0)
+        for k, _ in parts:
+            assert len(set(each[k])) == 1 and each[k].sum() - sum(count[k]) <= grulm._PADDING + sum(count[k]) // 4
+
+
+def test_a_window_updates_the_dictionaries_it_is_given():
+    """Parameters that were replaced after a window, by those of another round, are the ones that the next one changes."""
+    rng = np.random.default_rng(8)
+    ids, begin = rng.integers(2, 50, 400).astype(np.int32), np.arange(0, 401, 40)
+    a, b = (grulm.Gru(np.arange(50, 0, -1).astype(float), classes=4, hidden=8, embedding=6) for _ in range(2))
+    first = a.flat()
+    squares = lambda m: {k: np.full_like(v, 1e-4) for k, v in m.p.items()}
+    grulm.train_on(a, ids, begin, squares(a))
+    assert (a.flat() != first).any()
+    a.load(first)
+    s, t = squares(a), squares(b)
+    for m, of in ((a, s), (b, t)):
+        grulm.train_on(m, ids, begin, of)
+    assert (a.flat() == b.flat()).all() and all((s[k] == t[k]).all() and (s[k] > 1e-4).any() for k in s)
