@@ -23,6 +23,9 @@ SCHEDULE_ROWS = [
     ("FURNITURE", None, 0.25, 2, "resuming_asis"),
 ]
 
+#: Rows that a task of the join behind ``task`` gets, both sides together; it sorts them, and counts by job keep a row for each job.
+TASK_ROWS = 500_000
+
 
 def _lit(v) -> str:
     return "null" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
@@ -48,6 +51,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _parted(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join in as many partitions as their rows ask for, where that is more than Spark may be left with:
+    a set number of shuffle partitions doesn't follow the input, and small ones are joined up to one a core. Beyond the
+    number up to which shuffles are written without a sort in memory, a task gets up to three times its rows first. The
+    counts read Parquet footers only."""
+    spark = left.sparkSession
+    rows = left.count() + right.count()
+    unsorted = int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    n = max(min(-(-rows // TASK_ROWS), unsorted), -(-rows // (3 * TASK_ROWS)))
+    if n <= min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism):
+        return left, right
+    return left.repartition(n, left_key), right.repartition(n, right_key)
+
+
 def schedule(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     """A local relation, whose size the optimizer knows."""
     values = ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in SCHEDULE_ROWS)
@@ -72,7 +89,7 @@ def job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    li, o = _parted(table(spark, sf_dir, "lineitem"), "l_orderkey", table(spark, sf_dir, "orders"), "o_orderkey")
     open_ = F.when(F.col("l_returnflag") == "N", "Pending").when(F.col("l_returnflag") == "A", "Running").otherwise("Paused")
     state = F.when(F.col("l_linestatus") == "O", open_).when(F.col("l_returnflag") == "R", "Failed").otherwise("Succeeded")
     keys = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
